@@ -3,8 +3,8 @@
 A source's documents fall, by seeded hashes, into BLOCKS blocks, which a seeded permutation orders
 anew for each copy. A source whose target is r times its size gives floor(r) whole copies, and of one
 more copy as many permuted blocks as fit; the block at the boundary is cut in the same way by finer
-blocks and at last by documents, so what is taken comes within half a document of the target. The
-exact block quotas of all sources are then split among output shards by a tree: each node gives its
+blocks and at last by documents; of some TOP_UP documents beyond the cut, one more is taken whose size
+comes nearest to what is left. The exact block quotas of all sources are then split among output shards by a tree: each node gives its
 left half of the shards a multivariate-hypergeometric draw of its quotas. A shard's quotas are
 consecutive, hence disjoint, pieces of each source's permuted blocks, in a seeded local order.
 
@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from stepfold.llm.common import WORD
+from stepfold.llm.common import WORD, cut
 
 BLOCKS = 1024
 MOST = 3
+TOP_UP = 4096
 #: Up to so many sources, their thresholds (some 200 bytes each) are broadcast.
 BROADCAST_SOURCES = 10_000
 
@@ -85,9 +86,9 @@ def _cut(sums: DataFrame, need: DataFrame, by: list[str]) -> list:
 def thresholds(docs: DataFrame, shards: int = 32, seed: int = 29) -> tuple[DataFrame, int]:
     """One row a source: size, target, whole copies, where one more copy ends, its shards' cuts; and how many rows."""
     spark = docs.sparkSession
-    keyed = _keys(docs.select("doc_id", "source", "text"), seed).select("source", "_size", "_block", "_fine", "_order")
-    got = sorted(((r["source"], r["s"]) for r in keyed.groupBy("source").agg(F.sum("_size").alias("s")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
-    names, sizes = [x for x, _ in got], [int(s) for _, s in got]
+    keyed = cut(_keys(docs.select("doc_id", "source", "text"), seed).select("source", "_size", "_block", "_fine", "_order"), "mix-sizes")
+    got = sorted(((r["source"], r["s"], r["n"]) for r in keyed.groupBy("source").agg(F.sum("_size").alias("s"), F.count("*").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
+    names, sizes, counts = [x for x, _, _ in got], [int(s) for _, s, _ in got], [n for _, _, n in got]
     targets = fill(sizes, [float(1 + i % 3) for i in range(len(got))])
     whole = [min(MOST, math.floor(t / s)) if s else 0 for t, s in zip(targets, sizes)]
     need = {n: t - w * s for n, t, w, s in zip(names, targets, whole, sizes)}
@@ -105,18 +106,25 @@ def thresholds(docs: DataFrame, shards: int = 32, seed: int = 29) -> tuple[DataF
         need[r["_src"]] = r["rest"]
     at = small([(n, c[1]) for n, c in cuts.items()], T.StructType([T.StructField("_src", T.StringType()), T.StructField("_at", T.IntegerType())]))
     last = edge.join(at, edge["source"].eqNullSafe(at["_src"]) & (edge["_fine"] == at["_at"])).drop("_src", "_at")
-    halves = small([(n, x + 1e-9) for n, x in need.items()], schema)
+    rest = small(list(need.items()), schema)
     ends = last.groupBy("source", "_order").agg(F.sum("_size").alias("s"))
     w = W.partitionBy("source").orderBy("_order").rowsBetween(W.unboundedPreceding, 0)
-    ends = ends.withColumn("upto", F.sum("s").over(w)).join(halves, ends["source"].eqNullSafe(halves["_src"]))
-    for r in ends.where(F.col("upto") - F.col("s") / 2 <= F.col("need")).groupBy("_src").agg(F.max("_order").alias("o")).collect():
+    ends = ends.withColumn("upto", F.sum("s").over(w)).join(rest, ends["source"].eqNullSafe(rest["_src"]))
+    for r in ends.where(F.col("upto") <= F.col("need")).groupBy("_src").agg(F.max("_order").alias("o"), F.max("upto").alias("u")).collect():
         cuts[r["_src"]][2] = r["o"]
+        need[r["_src"]] -= r["u"]
     low = -(1 << 63)
+    beyond = small([(n, c[0], c[1], c[2] or low, float(need[n]), k) for (n, c), k in zip(cuts.items(), counts)], "_src string, _c1 int, _c2 int, _c3 long, _need double, _n long")
+    past = F.struct("_block", "_fine", "_order") > F.struct(F.col("_c1").alias("_block"), F.col("_c2").alias("_fine"), F.col("_c3").alias("_order"))
+    close = (F.col("_block") - F.col("_c1")) * F.col("_n") <= TOP_UP * BLOCKS
+    more = keyed.join(beyond, keyed["source"].eqNullSafe(beyond["_src"])).where(past & close).groupBy("_src", "_order").agg(F.sum("_size").alias("s"), F.max("_need").alias("need"))
+    off = F.abs(F.col("need") - F.col("s"))
+    extra = {r["_src"]: r["o"] for r in more.where(off < F.col("need")).groupBy("_src").agg(F.min_by("_order", F.struct(off.alias("d"), "_order")).alias("o")).collect()}
     quotas = np.array([w * BLOCKS + min(cuts[n][0], BLOCKS) for n, w in zip(names, whole)], dtype=np.int64)
     parts = split_quotas(quotas, shards, np.random.default_rng(seed)) if names else np.zeros((shards, 0), np.int64)
     ends_of = np.cumsum(parts, axis=0)
-    rows = [(n, s, t, w, cuts[n][0], cuts[n][1], cuts[n][2] if cuts[n][2] else low, [int(x) for x in ends_of[:, i]]) for i, (n, s, t, w) in enumerate(zip(names, sizes, targets, whole))]
-    kind = "_src string, source_size long, target double, _whole int, _cut1 int, _cut2 int, _cut3 long, _ends array<long>"
+    rows = [(n, s, t, w, cuts[n][0], cuts[n][1], cuts[n][2] or low, extra.get(n), [int(x) for x in ends_of[:, i]]) for i, (n, s, t, w) in enumerate(zip(names, sizes, targets, whole))]
+    kind = "_src string, source_size long, target double, _whole int, _cut1 int, _cut2 int, _cut3 long, _extra long, _ends array<long>"
     return spark.createDataFrame(rows, kind), len(rows)
 
 
@@ -126,7 +134,7 @@ def allot(docs: DataFrame, shards: int = 32, seed: int = 29) -> DataFrame:
     keyed = _keys(docs, seed)
     joined = keyed.join(F.broadcast(marks) if n <= BROADCAST_SOURCES else marks, keyed["source"].eqNullSafe(marks["_src"]))
     place, end = F.struct("_block", "_fine", "_order"), F.struct(F.col("_cut1").alias("_block"), F.col("_cut2").alias("_fine"), F.col("_cut3").alias("_order"))
-    copies = F.col("_whole") + F.when((F.col("_whole") < MOST) & (place <= end) & (F.col("target") > 0), 1).otherwise(0)
+    copies = F.col("_whole") + F.when((F.col("_whole") < MOST) & ((place <= end) | F.coalesce(F.col("_order") == F.col("_extra"), F.lit(False))) & (F.col("target") > 0), 1).otherwise(0)
     joined = joined.withColumn("_copies", copies)
 
     def shard(copy: Column) -> Column:
@@ -135,7 +143,7 @@ def allot(docs: DataFrame, shards: int = 32, seed: int = 29) -> DataFrame:
         return F.least(F.size(F.filter("_ends", lambda e: e <= copy * BLOCKS + rank)), F.lit(shards - 1))
 
     shards_of = F.when(F.col("_copies") > 0, F.transform(F.sequence(F.lit(0), F.col("_copies") - 1), shard)).otherwise(F.array().cast("array<int>"))
-    return joined.withColumn("_shards", shards_of).drop("_src", "_whole", "_cut1", "_cut2", "_cut3", "_ends", "_block", "_fine", "_h")
+    return joined.withColumn("_shards", shards_of).drop("_src", "_whole", "_cut1", "_cut2", "_cut3", "_extra", "_ends", "_block", "_fine", "_h")
 
 
 def mix(docs: DataFrame, shards: int = 32, seed: int = 29) -> DataFrame:

@@ -1,11 +1,11 @@
 """Non-negative positive-unlabelled learning of toxicity.
 
-Confirmed toxic documents are the positives; all other text is unlabelled. A linear model over hashed
+Confirmed toxic documents are the positives; all other text is unlabelled. A linear model over
 word and word-stem features is trained in numpy with the class-prior-corrected risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)),
 where a step whose bracket is below zero goes up its gradient instead. Features count as present or
 absent, so that the length of a text does not dilute them, and only those that several positives
-share are kept.
+share, and by more than `telling` standard errors oftener than all text, are kept.
 
 The model is fitted on bounded, hash-ordered samples: at most `most_positive` labelled positives and
 `most_unlabelled` documents of the training folds. Every whole text is scored, in Arrow batches.
@@ -18,8 +18,6 @@ equal texts get equal scores; an empty table gives no rows; other columns are no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,7 +25,6 @@ from pyspark.sql import functions as F
 
 from stepfold.llm.common import ascii_lower, in_fold
 
-DIMS = 1 << 20
 _STRIP = b".,;:!?\"'()[]{}<>*_-"
 
 
@@ -45,7 +42,7 @@ def features(text: str | None) -> set[bytes]:
     return out
 
 
-def train(positive: list[str | None], unlabelled: list[str | None], prior: float, least: int = 4, steps: int = 400, rate: float = 0.1, ridge: float = 1e-5, most: int = 60_000) -> tuple[dict[bytes, float], float]:
+def train(positive: list[str | None], unlabelled: list[str | None], prior: float, least: int = 4, steps: int = 400, rate: float = 0.1, ridge: float = 1e-5, telling: float = 4.0, most: int = 60_000) -> tuple[dict[bytes, float], float]:
     """Feature weights and bias by the non-negative risk estimator, with Adam over the whole samples."""
     df_p: dict[bytes, int] = {}
     rows_p, rows_u = [features(t) for t in positive], [features(t) for t in unlabelled]
@@ -56,13 +53,18 @@ def train(positive: list[str | None], unlabelled: list[str | None], prior: float
     for r in rows_u:
         for f in r & df_u.keys():
             df_u[f] += 1
-    # the features whose presence tells most: by how much more of the positives than of all text has them
-    gain = lambda f: df_p[f] / max(1, len(rows_p)) - df_u[f] / max(1, len(rows_u))
-    kept = sorted(df_u, key=lambda f: (-abs(gain(f)), f))[:most]
-    at = {f: i for i, f in enumerate(kept)}
     if not rows_p or not rows_u:
         return {}, -np.inf
 
+    def sigmas(f: bytes) -> float:
+        """By how many standard errors the positives' share with a feature differs from that of all text."""
+        p, u, n, k = df_p[f] / len(rows_p), df_u[f] / len(rows_u), len(rows_p), len(rows_u)
+        q = (df_p[f] + df_u[f] + 1) / (n + k + 2)
+        return abs(p - u) / (q * (1 - q) * (1 / n + 1 / k)) ** 0.5
+
+    kept = sorted((f for f in df_u if sigmas(f) >= telling), key=lambda f: (-sigmas(f), f))[:most]
+    at = {f: i for i, f in enumerate(kept)}
+
     def packed(rows: list[set[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         got = [(i, at[f]) for i, r in enumerate(rows) for f in sorted(r & at.keys())]
         a = np.array(got, np.int64).reshape(-1, 2)
