@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepfold.llm import bitsliced, langid, mixing, sharding, toxicity
+from stepfold.llm import bitsliced, decontam, langid, mixing, neardup, pii, sharding, toxicity
 from stepfold.llm.common import table
 
 
+def op1_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -18,6 +22,10 @@ def op3_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.two_pass_shuffle(table(spark, sf_dir, "documents"))
 
 
+def op6_multiindex_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -30,8 +38,16 @@ def op9_ftrl_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op10_pii_deobfuscate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_nnpu_toxicity, op3_two_pass_shuffle, op7_hypergeometric_mix, op8_bitsliced_topk, op9_ftrl_langid)}
+    every = (
+        op1_template_decontam, op2_nnpu_toxicity, op3_two_pass_shuffle, op6_multiindex_neardup,
+        op7_hypergeometric_mix, op8_bitsliced_topk, op9_ftrl_langid, op10_pii_deobfuscate,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
