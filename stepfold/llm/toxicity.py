@@ -18,12 +18,14 @@ equal texts get equal scores; an empty table gives no rows; other columns are no
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.llm.common import ascii_lower, in_fold
+from stepfold.llm.common import ascii_lower, cut, in_fold
 
 _STRIP = b".,;:!?\"'()[]{}<>*_-"
 
@@ -42,54 +44,29 @@ def features(text: str | None) -> set[bytes]:
     return out
 
 
-def train(positive: list[str | None], unlabelled: list[str | None], prior: float, least: int = 4, steps: int = 400, rate: float = 0.1, ridge: float = 1e-5, telling: float = 4.0, most: int = 60_000) -> tuple[dict[bytes, float], float]:
-    """Feature weights and bias by the non-negative risk estimator, with Adam over the whole samples."""
-    df_p: dict[bytes, int] = {}
-    rows_p, rows_u = [features(t) for t in positive], [features(t) for t in unlabelled]
-    for r in rows_p:
-        for f in r:
-            df_p[f] = df_p.get(f, 0) + 1
-    df_u = dict.fromkeys((f for f, n in df_p.items() if n >= least), 0)
-    for r in rows_u:
-        for f in r & df_u.keys():
-            df_u[f] += 1
-    if not rows_p or not rows_u:
-        return {}, -np.inf
-
-    def sigmas(f: bytes) -> float:
-        """By how many standard errors the positives' share with a feature differs from that of all text."""
-        p, u, n, k = df_p[f] / len(rows_p), df_u[f] / len(rows_u), len(rows_p), len(rows_u)
-        q = (df_p[f] + df_u[f] + 1) / (n + k + 2)
-        return abs(p - u) / (q * (1 - q) * (1 / n + 1 / k)) ** 0.5
-
-    kept = sorted((f for f in df_u if sigmas(f) >= telling), key=lambda f: (-sigmas(f), f))[:most]
-    at = {f: i for i, f in enumerate(kept)}
-
-    def packed(rows: list[set[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        got = [(i, at[f]) for i, r in enumerate(rows) for f in sorted(r & at.keys())]
-        a = np.array(got, np.int64).reshape(-1, 2)
-        return a[:, 0], a[:, 1]
+def minimise(rows: tuple[int, int], at_p: tuple[np.ndarray, np.ndarray], at_u: tuple[np.ndarray, np.ndarray], dims: int, prior: float, steps: int = 400, rate: float = 0.1, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias with the least non-negative risk, by Adam over the whole samples.
 
-    (ip, fp), (iu, fu) = packed(rows_p), packed(rows_u)
-    w, b = np.zeros(len(kept)), 0.0
-    m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    rows: how many positives and unlabelled there are; at_p, at_u: the rows and the features of their marks.
+    """
+    (n_p, n_u), (ip, fp), (iu, fu) = rows, at_p, at_u
+    w, b = np.zeros(dims), 0.0
+    m, v = np.zeros(dims + 1), np.zeros(dims + 1)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
     for t in range(1, steps + 1):
-        zp = np.bincount(ip, w[fp], len(rows_p)) + b
-        zu = np.bincount(iu, w[fu], len(rows_u)) + b
+        zp = np.bincount(ip, w[fp], n_p) + b
+        zu = np.bincount(iu, w[fu], n_u) + b
         sp, su = sig(zp), sig(zu)
-        lp_plus, lp_minus, lu_minus = np.logaddexp(0, -zp), np.logaddexp(0, zp), np.logaddexp(0, zu)
-        negative = lu_minus.mean() - prior * lp_minus.mean()
-        gp, gu = (sp - 1) * prior / len(rows_p), su / len(rows_u)
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         if negative >= 0:
-            gp = gp - prior * sp / len(rows_p)
+            gp, gu = (sp - 1 - sp) * prior / n_p, su / n_u
         else:  # the estimated risk of negatives cannot be below zero: go back up
-            gp, gu = prior * sp / len(rows_p), -gu
-        g = np.concatenate([np.bincount(fp, gp[ip], len(kept)) + np.bincount(fu, gu[iu], len(kept)) + ridge * w, [gp.sum() + gu.sum()]])
+            gp, gu = prior * sp / n_p, -su / n_u
+        g = np.concatenate([np.bincount(fp, gp[ip], dims) + np.bincount(fu, gu[iu], dims) + ridge * w, [gp.sum() + gu.sum()]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return {f: float(w[i]) for f, i in at.items() if w[i]}, float(b)
+    return w, float(b)
 
 
 def score_text(text: str | None, weights: dict[bytes, float], bias: float) -> float:
@@ -99,20 +76,49 @@ def score_text(text: str | None, weights: dict[bytes, float], bias: float) -> fl
     return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 12_000, seed: int = 5) -> tuple[dict[bytes, float], float]:
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = pa.array([sorted(features(t)) for t in b.column("text").to_pylist()], pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([b.column("_o"), b.column("p"), found], ["_o", "p", "found"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 12_000, least: int = 4, telling: float = 4.0, most_features: int = 20_000, seed: int = 5) -> tuple[dict[bytes, float], float]:
     """The model from labels and text of the rows whose fold is not 0 of 5."""
     taught = lambda d: d.where(~in_fold(F.col("doc_id"), 5, 0))
     known = taught(labels).where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     total = known.agg(F.count("*").alias("n"), F.sum((F.col("_toxic") == 1).cast("int")).alias("p")).first()
     if not total["p"]:
         return {}, -np.inf
+    prior, n = total["p"] / total["n"], int(docs.count())
     text = taught(docs).select("doc_id", "text").where("text is not null").withColumn("_o", F.xxhash64(F.lit(seed), "doc_id", "text"))
     ids = known.where("_toxic = 1").withColumn("_o", F.xxhash64(F.lit(seed), "doc_id")).orderBy("_o").limit(most_positive).select("doc_id")
-    positive = [r["text"] for r in text.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("_o").limit(most_positive).collect()]  # ids: most_positive at most
-    n = int(docs.count())
-    near = F.lit(min(1.0, 1.3 * most_unlabelled / max(1, n) + 200 / max(1, n)))  # a hashed share, so that only the sample is sorted
-    other = [r["text"] for r in text.where(F.pmod("_o", F.lit(1 << 30)) < near * (1 << 30)).orderBy("_o").limit(most_unlabelled).collect()]
-    return train(positive, other, prior=total["p"] / total["n"])
+    positive = text.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("_o").limit(most_positive)  # ids: most_positive at most
+    near = min(1.0, (1.3 * most_unlabelled + 200) / max(1, n))  # a hashed share, so that only the sample is sorted
+    other = text.where(F.pmod("_o", F.lit(1 << 30)) < near * (1 << 30)).orderBy("_o").limit(most_unlabelled)
+    sample = positive.select("_o", "text", F.lit(True).alias("p")).union(other.select("_o", "text", F.lit(False)))
+    marked = cut(sample.repartition(16, "_o").mapInArrow(_marked, "_o long, p boolean, found array<binary>"), "toxic-sample")
+    size = {r["p"]: r["n"] for r in marked.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    n_p, n_u = size.get(True, 0), size.get(False, 0)
+    if not n_p or not n_u:
+        return {}, -np.inf
+    # by how many standard errors the positives' share with a feature differs from that of all text
+    seen = marked.select("p", F.explode("found").alias("f")).groupBy("f").agg(F.count_if("p").alias("k_p"), F.count_if(~F.col("p")).alias("k_u")).where(F.col("k_p") >= least)
+    q = (F.col("k_p") + F.col("k_u") + 1) / F.lit(n_p + n_u + 2)
+    off = F.abs(F.col("k_p") / n_p - F.col("k_u") / n_u) / F.sqrt(q * (1 - q) * (1 / n_p + 1 / n_u))
+    kept = [bytes(r["f"]) for r in seen.select("f", off.alias("off")).where(F.col("off") >= telling).orderBy(F.desc("off"), "f").limit(most_features).collect()]
+    at = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(kept)})
+
+    def places(found: pa.Array) -> pa.Array:
+        return pa.array([[at.value[f] for f in row if f in at.value] for row in found.to_pylist()], pa.list_(pa.int32()))
+
+    rows = marked.select("p", F.arrow_udf(places, "array<int>")("found").alias("at"), "_o").orderBy("_o", "p").collect()
+
+    def packed(p: bool) -> tuple[np.ndarray, np.ndarray]:
+        own = [r["at"] for r in rows if r["p"] == p]
+        return np.repeat(np.arange(len(own)), [len(a) for a in own]), np.array([f for a in own for f in a], np.int64)
+
+    w, b = minimise((n_p, n_u), packed(True), packed(False), len(kept), prior)
+    return {f: float(x) for f, x in zip(kept, w) if x}, b
 
 
 def scored(docs: DataFrame, model: tuple[dict[bytes, float], float]) -> DataFrame:
