@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepfold.llm import bitsliced, ctxmix, decontam, langid, mixing, neardup, pii, sharding, toxicity
+from stepfold.llm import bitsliced, ctxmix, decontam, langid, mixing, neardup, pii, sharding, suffixdup, toxicity
 from stepfold.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctxmix.score(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_multiindex_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_pii_deobfuscate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_template_decontam, op2_nnpu_toxicity, op3_two_pass_shuffle, op4_context_mixing, op6_multiindex_neardup,
+        op1_template_decontam, op2_nnpu_toxicity, op3_two_pass_shuffle, op4_context_mixing, op5_suffix_dedup, op6_multiindex_neardup,
         op7_hypergeometric_mix, op8_bitsliced_topk, op9_ftrl_langid, op10_pii_deobfuscate,
     )
     return {f.__name__: f for f in every}
