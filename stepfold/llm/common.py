@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns as one, `r`, so that no column an operator adds can clash with them."""
+    return F.struct(*[docs[c] for c in docs.columns]).alias("r")
+
+
 def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id, written as text, leaves the remainder `fold`; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from stepfold.llm.common import WORD, cut
+from stepfold.llm.common import WORD, cut, whole
 
 BLOCKS = 1024
 MOST = 3
@@ -146,10 +146,10 @@ def allot(docs: DataFrame, shards: int = 32, seed: int = 29) -> DataFrame:
     return joined.withColumn("_shards", shards_of).drop("_src", "_whole", "_cut1", "_cut2", "_cut3", "_extra", "_ends", "_block", "_fine", "_h")
 
 
-def mix(docs: DataFrame, shards: int = 32, seed: int = 29) -> DataFrame:
-    """The rows of the mix, each document as often as it is taken, with the output shard and a local order."""
-    rows = allot(docs, shards, seed).select(*[docs[c] for c in docs.columns], "_order", F.posexplode("_shards").alias("_copy", "mix_shard"))
-    return rows.withColumn("mix_order", F.xxhash64(F.lit(seed + 3), F.col("_order"), F.col("_copy"))).drop("_order", "_copy")
+def mix(docs: DataFrame, shards: int = 32, seed: int = 29, place: str = "mix_place") -> DataFrame:
+    """The rows of the mix, each document as often as it is taken, and in `place` the output shard and a local order."""
+    rows = allot(docs.select(whole(docs), "doc_id", "source", "text"), shards, seed).select("r", "_order", F.posexplode("_shards").alias("copy", "shard"))
+    return rows.select("r.*", F.struct("shard", F.xxhash64(F.lit(seed + 3), "_order", "copy").alias("order")).alias(place))
 
 
 def report(docs: DataFrame, shards: int = 32, seed: int = 29) -> DataFrame:

@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.llm.common import ascii_lower, cut, in_fold
+from stepfold.llm.common import ascii_lower, cut, in_fold, whole
 
 _STRIP = b".,;:!?\"'()[]{}<>*_-"
 
@@ -121,24 +121,24 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unla
     return {f: float(x) for f, x in zip(kept, w) if x}, b
 
 
-def scored(docs: DataFrame, model: tuple[dict[bytes, float], float]) -> DataFrame:
-    """`docs` with a score from 0 to 1 in `_score`."""
+def scorer(docs: DataFrame, model: tuple[dict[bytes, float], float]):
+    """The scores, from 0 to 1, of a text column."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
         weights, bias = held.value
         return pa.array([score_text(t, weights, bias) for t in text.to_pylist()], pa.float64())
 
-    return docs.withColumn("_score", score(F.col("text")))
+    return F.arrow_udf(score, "double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    s = scored(docs.select("doc_id", "text"), fit(docs, labels))
-    held_out: Column = in_fold(F.col("doc_id"), 5, 0)
-    return s.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    score = scorer(docs, fit(docs, labels))
+    s = docs.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), score(F.col("text")).alias("score"))
+    return s.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without those that the model predicts to be toxic."""
-    return scored(docs, fit(docs, labels)).where(F.col("_score") < 0.5).select(*docs.columns)
+    score = scorer(docs, fit(docs, labels))
+    return docs.select(whole(docs), score(docs["text"]).alias("score")).where(F.col("score") < 0.5).select("r.*")
