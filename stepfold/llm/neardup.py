@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stepfold.llm.common import ascii_lower, cut, mix64, word_hashes
+from stepfold.llm.common import ascii_lower, cut, mix64, whole, word_hashes
 from stepfold.llm.graph import components
 
 WIDTH = 5
 _STEP = np.uint64(0x9DDFEA08EB382D69)
+#: Up to so many ids (some 40 bytes each) are broadcast to find their texts; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Texts are hashed in runs of so many bytes.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 
 
 def chunks_for(similarity: float, width: int = WIDTH, miss: float = 1e-6) -> int:
@@ -180,8 +182,8 @@ def classes(docs: DataFrame, n: int = 3, num: int = 85, den: int = 100, width: i
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs linked by their full sets."""
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = docs.join(asked.join(nodes, "node").select(F.col("node").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id", "text"])
+        asked = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "asked")
+        texts = docs.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         held = cut(texts.select(F.col("doc_id").alias("node"), F.arrow_udf(_sets(n), "binary")("text").alias("set")).where(F.length("set") > 0), "sets")
         size = lambda c: F.length(c) / 8
         both = pairs.join(held.toDF("a", "set_a"), "a").join(held.toDF("b", "set_b"), "b")
@@ -215,6 +217,7 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     """
     found = classes(docs, n, num, den)
     group = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_group"))
-    kept = docs.join(group, docs["doc_id"] == group["_id"], "left").where("_group is null or _group = doc_id")
-    nth = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
-    return kept.withColumn("_nth", nth).where("_nth = 1").select(*[docs[c] for c in docs.columns])
+    rows = docs.select(whole(docs), "doc_id", F.xxhash64("text").alias("text_hash"))
+    kept = rows.join(group, rows["doc_id"] == group["_id"], "left").where("_group is null or _group = doc_id")
+    nth = F.row_number().over(W.partitionBy("doc_id", "text_hash").orderBy(F.lit(0)))
+    return kept.withColumn("nth", nth).where("nth = 1").select("r.*")
