@@ -47,6 +47,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Like `cut`, in as many buckets by `key` as shuffles have partitions, so that joins on it don't shuffle `df` again."""
+    spark = df.sparkSession
+    name = f"stepfold_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def ascii_lower(text: str | None) -> bytes:
     """UTF-8 bytes with A-Z lower-cased; null is empty."""
     return text.encode("utf-8", "surrogatepass").lower() if text else b""

@@ -35,16 +35,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.llm.common import cut, prefix_hash, span_hash
+from stepfold.llm.common import bucketed, prefix_hash, span_hash
 
 SPAN = 50
 GRAM = 20
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 BUCKET_BYTES = 24 << 20  # of text for each bucket
 HOT = 2048
 LAST = np.iinfo(np.int64).max
 #: A bucket's pieces are sorted in blocks of whole groups, of about so many pieces.
-BLOCK = 100_000
+BLOCK = 40_000
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -197,15 +197,42 @@ def smaller_elsewhere(data: np.ndarray, start: np.ndarray, size: np.ndarray, off
     start, size: where its bytes begin and how many windows it has; offset: of the anchor in its first window.
     """
     prefix = prefix_hash(data)
+    content = span_hash(prefix, start, start + size + span - 1)
+    by = np.lexsort((doc, content, size, key))
+    same = np.zeros(len(by), bool)
+    same[1:] = (key[by][1:] == key[by][:-1]) & (content[by][1:] == content[by][:-1]) & (size[by][1:] == size[by][:-1])
+    first = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]  # of equal pieces, that of the smallest document
+    copy = np.flatnonzero(same)
+    sure = equal_spans(data, start[by[copy]], start[first[copy]], size[by[copy]] + span - 1)
+    first[copy[~sure]] = by[copy[~sure]]  # a collision of hashes: a piece of its own
+    of = np.empty(len(by), np.int64)
+    of[by] = first
+    # different pieces of one key: compare their windows
+    own = np.flatnonzero(of == np.arange(len(of)))
+    _, at_key, n = np.unique(key[own], return_inverse=True, return_counts=True)
+    own = own[n[at_key] > 1]
+    bits = np.zeros(len(start), np.uint64)
+    if len(own):
+        bits[own] = _compare_windows(data, prefix, start[own], size[own], offset[own], key[own], doc[own], span)
+    every = (np.uint64(1) << size.astype(np.uint64)) - np.uint64(1)
+    return np.where(doc > doc[of], every, bits[of])
+
+
+def _compare_windows(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, size: np.ndarray, offset: np.ndarray, key: np.ndarray, doc: np.ndarray, span: int) -> np.ndarray:
     piece = np.repeat(np.arange(len(start)), size)
     at = spread(start, size)
     k = at - start[piece]
     place = offset[piece] - k  # of the anchor in the window: equal windows agree in it
     by = np.lexsort((at, place, key[piece]))
-    at, piece, k, place = at[by], piece[by], k[by], place[by]
-    own = key[piece]
-    change = np.append(True, (own[1:] != own[:-1]) | (place[1:] != place[:-1]))
-    group = np.cumsum(change)
+    own, there = key[piece[by]], place[by]
+    change = np.append(True, (own[1:] != own[:-1]) | (there[1:] != there[:-1]))
+    group = np.cumsum(change) - 1
+    several = np.bincount(group)[group] > 1
+    by, group = by[several], group[several]
+    bits = np.zeros(len(start), np.uint64)
+    if not len(by):
+        return bits
+    at, piece, k = at[by], piece[by], k[by]
     order = suffix_sort(data, prefix, at, group, span)
     at, piece, k = at[order], piece[order], k[order]
     same = np.zeros(len(at), bool)
@@ -216,15 +243,14 @@ def smaller_elsewhere(data: np.ndarray, start: np.ndarray, size: np.ndarray, off
         for g in np.unique(group[equal[~sure]]):
             i = np.flatnonzero(group == g)
             text = [data[a : a + span].tobytes() for a in at[i]]
-            i2 = i[sorted(range(len(i)), key=lambda j: text[j])]
-            at[i], piece[i], k[i] = at[i2], piece[i2], k[i2]
-            same[i] = [j > 0 and sorted(text)[j] == sorted(text)[j - 1] for j in range(len(i))]
+            rank = sorted(range(len(i)), key=text.__getitem__)
+            at[i], piece[i], k[i] = at[i][rank], piece[i][rank], k[i][rank]
+            same[i[1:]] = [text[b] == text[a] for a, b in zip(rank, rank[1:])]
             equal = equal[group[equal] != g]
     same[equal + 1] = True
     starts = np.flatnonzero(~same)
     least = np.repeat(np.minimum.reduceat(doc[piece], starts), np.diff(np.append(starts, len(at))))
     gone = least < doc[piece]
-    bits = np.zeros(len(start), np.uint64)
     np.bitwise_or.at(bits, piece[gone], np.uint64(1) << k[gone].astype(np.uint64))
     return bits
 
@@ -407,15 +433,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def report(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    held = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_runs, "run long, ids binary, nulls binary, sizes binary, z binary"), "runs")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = bucketed(rows.mapInArrow(_runs, "run long, ids binary, nulls binary, sizes binary, z binary"), "run")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-int(total) // bucket_bytes))
     dealt = lambda d: d.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     anchors = held.mapInArrow(_anchors(buckets), "bucket int, run long, h binary")
     found = dealt(anchors).mapInArrow(_shared, "run long, many binary, hot binary")
     found = found.groupBy("run").agg(F.collect_list("many").alias("many"), F.collect_list("hot").alias("hot"))
-    asked = held.select("run", "ids", "sizes", "z").join(found, "run", "left")
+    # runs stay where they are: they are bucketed by the key that the joins use
+    asked = held.select("run", "ids", "sizes", "z").join(found.hint("shuffle_hash"), "run", "left")
     sent = asked.mapInArrow(_pieces(buckets), "bucket int, run long, pieces binary, gone binary")
     told = dealt(sent).mapInArrow(_sorted, "run long, bits binary, gone binary")
     told = told.groupBy("run").agg(F.collect_list("bits").alias("bits"), F.collect_list("gone").alias("gone"))
-    return held.join(told, "run", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return held.join(told.hint("shuffle_hash"), "run", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
