@@ -94,11 +94,11 @@ def rules(off: frozenset[str] = frozenset(), switch: Column | None = None) -> li
 
     get_bad = (F.size(c("requested")) > 0) & (~X.is_subset(c("requested"), given) | F.exists(c("requested"), stale))
     wrong_object = ((c("invoking") != "") & ~F.contains(c("invoking"), F.lit("sessionmanager"))) | ((c("invoking_uid") != "") & ~F.endswith(c("invoking_uid"), F.lit("ff")))
-    target_bad, load_bad = checked("properties_target", wrong_object), checked("properties_payload", ~ok | ~c("has_properties"))
+    target_bad, load_bad = checked("properties_target", wrong_object), ~ok | checked("properties_payload", ~c("has_properties"))
     said = lambda broken: F.concat(F.lit("inconsistent="), _flag(broken))
     bad_value = (method == "set") & c("bad_bool")
     read_state, start = ["active_sessions", "authenticated", "invoking_uid"], checked("startsession", start_bad)
-    access = checked("known_field_success", c("known_access") != "")
+    access = c("known_access") != ""
     out = [
         Rule("PARSE_FINAL_COMMAND", (method == "") | (status == ""), F.lit(True), [], F.lit("missing method/status")),
         Rule("PROPERTIES_TARGET", method == "properties", target_bad, ["invoking_name", "invoking_uid"], F.concat(F.lit("uid="), c("invoking_uid"), F.lit(", "), said(target_bad)), stops=True),
@@ -131,10 +131,13 @@ def judge(states: DataFrame, with_trace: bool = False, off: Iterable[str] = (),
     for r in reversed(held):
         when = r.reached & r.broken if r.stops else r.reached
         decided, broken = F.when(when, F.lit(r.id)).otherwise(decided), F.when(when, r.broken).otherwise(broken)
-    d = states.withColumns({"final_rule_id": decided, "_broken": broken})
+    # without the known-field check, errors on known kinds of objects are not looked at at all
+    spared = F.col("last.method").isin("get", "set") & (F.col("last.status") != "success") & (F.col("last.object_kind") != "")
+    without = F.lit("known_field_success" in off) if switch is None else switch == "known_field_success"
+    d = states.withColumns({"final_rule_id": decided, "_broken": F.when(without & spared, False).otherwise(broken)})
     if switch is not None:
         d = d.withColumn("_broken", F.when(switch == "always_pass", False).when(switch == "always_fail", True).otherwise(F.col("_broken")))
-    d = d.withColumn("prediction", F.when("always_pass" in off and F.lit(True) or F.lit(False), "pass").when(F.col("_broken"), "fail").otherwise("pass"))
+    d = d.withColumn("prediction", F.when(F.col("_broken"), "fail").otherwise("pass"))
     out = ["case_id", "prediction", "final_rule_id", F.col("n_steps").cast("long").alias("n_steps")]
     if with_trace:
         listed = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
