@@ -622,3 +622,62 @@ def canonical_json_identity(spark, sf_dir):
 def union_sources(spark, sf_dir):
     part = lambda name: read(spark, sf_dir, name).select(F.lit(name).alias("source"))
     return part("events").unionByName(part("conversations")).unionByName(part("pages")).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(None)
+def stream_vs_batch_fold(spark, sf_dir):
+    """Each step's open sessions and expected error from the stateful processor, run as one batch."""
+    from stepfold.streaming.sessions import judge_stream, typed
+
+    return judge_stream(typed(normalised(steps(spark, sf_dir))))
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_counts(spark, sf_dir):
+    from stepfold.streaming.sessions import counts_by_window
+
+    return counts_by_window(read(spark, sf_dir, "events"), "ts", F.col("event_type")).select(F.col("window.start").alias("day"), F.col("group").alias("event_type"), "n")
+
+
+@query("SELECT family, label, count(*) AS n FROM (VALUES " + ", ".join(f"('{f}', '{l}', {n})" for f, p, q in (
+    ("R1", 180, 60), ("R2", 90, 90), ("R3", 9, 18), ("R4", 28, 28), ("R5", 7, 7), ("R6", 1, 1), ("R7", 1, 1), ("R8", 60, 60), ("R9", 30, 30), ("R10", 24, 72), ("R11", 2, 2),
+    ("R12", 3, 6), ("R13", 7, 14), ("R14", 7, 7), ("R15", 1, 1), ("R16", 40, 16), ("R17", 90, 90), ("R18", 180, 0), ("R19", 0, 120), ("R20", 10, 10), ("R21", 8, 4),
+) for l, n in (("pass", p), ("fail", q)) if n) + ") AS t(family, label, k), range(k) GROUP BY ALL")
+def family_counts(spark, sf_dir):
+    from stepfold.generate.families import families
+
+    return families(spark).groupBy("family", "label").agg(F.count("*").alias("n"))
+
+
+@query(None)
+def family_verdicts(spark, sf_dir):
+    """The rules' verdicts on the generated cases, by family, through the whole JSON path."""
+    from stepfold.generate.families import families
+    from stepfold.plans.verdict import verify
+
+    f = families(spark)
+    s = f.select("case_id", F.posexplode("steps").alias("step_idx", "s")).select("case_id", "step_idx", "s.input", "s.output")
+    return verify(s).join(f.select("case_id", "family", "label"), "case_id").groupBy("family", "label", "prediction").agg(F.count("*").alias("n"))
+
+
+@query(None)
+def mutation_relations(spark, sf_dir):
+    """Cases derived from generated sessions by the mutation relations, and how the rules judge them."""
+    from stepfold.generate import mutations
+    from stepfold.generate.families import families
+    from stepfold.plans.verdict import verify
+
+    f = families(spark).where("family in ('R8', 'R10', 'R16') and label = 'pass'")
+    s = f.select("case_id", F.posexplode("steps").alias("step_idx", "s")).select("case_id", "step_idx", "s.input", "s.output")
+    m = mutations.mutate(s)
+    return mutations.pass_rate(m, verify(mutations.as_steps(m)))
+
+
+@query(None)
+def family_prompts(spark, sf_dir):
+    from stepfold.functions.render import prompts
+    from stepfold.generate.families import families
+
+    f = families(spark).where("family in ('R10', 'R16')")
+    s = f.select("case_id", F.posexplode("steps").alias("step_idx", "s")).select("case_id", "step_idx", "s.input", "s.output")
+    return prompts(s)
