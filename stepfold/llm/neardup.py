@@ -5,13 +5,16 @@ Two signatures at a distance (number of values that differ) of at most 2 * chunk
 pigeonhole principle, a chunk with at most one wrong value; so each chunk is written under `width` keys,
 each leaving out one value, and every pair within that distance shares a key. The number of chunks
 is chosen so that a pair at the similarity threshold stays within the distance but for one chance in
-a million. Documents with equal sets are one node, its smallest id. Candidate links are confirmed by
-the exact Jaccard similarity of the full sets.
+a million. Documents with equal sets are one node, its smallest id. Candidates must
+also be similar enough by the least hashes of their sets (all hashes, for short texts); links are then
+confirmed by the exact Jaccard similarity of the full sets.
 
-Groups that share a key are not expanded into all pairs: at first each is linked to its smallest
-node only; after components are known, only nodes of different components that share a key, whose
-signatures are within the distance, and that were not compared, remain to be compared. So no link
-between different components is lost, and a group of many copies costs one comparison each.
+Groups that share a key are not expanded into all pairs: at first each node is compared with its group's
+centre only, the node that shares most keys with others (of many copies, mostly their original). After
+components are known, only nodes of different components that share a key, and whose signatures are
+within the distance, remain to be compared; large groups look for these in blocks of BLOCK x BLOCK,
+which give out only what is found. So no link between different components is lost, and a group of
+many copies costs a few comparisons each.
 
 Defined cases: texts without words, null ones too, have no shingle and are linked with nothing, whatever
 else they equal; a text with fewer words than a shingle is one shingle; equal sets are one
@@ -32,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stepfold.llm.common import ascii_lower, cut, mix64, whole, word_hashes
+from stepfold.llm.common import ascii_lower, cut, lean, mix64, whole, word_hashes
 from stepfold.llm.graph import components
 
 WIDTH = 5
 _STEP = np.uint64(0x9DDFEA08EB382D69)
 #: Up to so many ids (some 40 bytes each) are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+BLOCK = 512
+SKETCH = 256
 #: Texts are hashed in runs of so many bytes.
 RUN_BYTES = 1 << 20
 
@@ -117,14 +122,15 @@ def _summaries(n: int, k: int):
                 sig: list[bytes | None] = [None] * len(sets)
                 for i, row in zip(full, signatures([sets[i] for i in full], k) if full else []):
                     sig[i] = row.tobytes()
+                least = [(s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
                 same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "same", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(sig, pa.binary()), pa.array(least, pa.binary())], ["doc_id", "n_shingles", "same", "sig", "least"])
 
     return run
 
 
 def keys_of(sig: np.ndarray, width: int) -> np.ndarray:
-    """For signatures (rows), a key for each chunk and each left-out value of it."""
+    """For signatures (rows), a key for each left-out value of each chunk; the place of a key is its slot."""
     rows, k = sig.shape
     values = sig.reshape(rows, k // width, width).astype(np.uint64)
     chunk = np.arange(k // width, dtype=np.uint64)[None, :]
@@ -147,8 +153,93 @@ def _keys(width: int):
     return run
 
 
-def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([int((np.frombuffer(x, np.uint16) != np.frombuffer(y, np.uint16)).sum()) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+def likely(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, by their SKETCH least hashes, may be as similar as that; exact for sets of at most SKETCH.
+
+    Of the least hashes of the union, the share that both have estimates the similarity; five standard
+    errors below the threshold are let through.
+    """
+    whole = len(a) < SKETCH and len(b) < SKETCH
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    again = np.flatnonzero(both[1:] == both[:-1])
+    if whole:
+        return len(again) >= similarity * (len(both) - len(again)) - 1e-9
+    # the k least distinct values, and how many of them stand twice
+    k = min(SKETCH, len(both) - len(again))
+    first = np.ones(len(both), bool)
+    first[again + 1] = False
+    bound = both[first][k - 1]
+    hits = int((both[again] <= bound).sum())
+    return hits >= k * (similarity - 5 * (similarity * (1 - similarity) / k) ** 0.5)
+
+
+def _may_link(most: int, similarity: float):
+    def run(sig_a: pa.Array, sig_b: pa.Array, least_a: pa.Array, least_b: pa.Array) -> pa.Array:
+        rows = zip(sig_a.to_pylist(), sig_b.to_pylist(), least_a.to_pylist(), least_b.to_pylist())
+        near = lambda a, b: int((np.frombuffer(a, np.uint16) != np.frombuffer(b, np.uint16)).sum()) <= most
+        return pa.array([near(a, b) and likely(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) for a, b, x, y in rows], pa.bool_())
+
+    return run
+
+
+def first_slot(differ: np.ndarray, width: int) -> np.ndarray:
+    """For pairs of signatures (rows: where they differ), the slot of the first key that they share."""
+    wrong = differ.reshape(len(differ), -1, width)
+    n = wrong.sum(axis=2)
+    chunk = (n <= 1).argmax(axis=1)
+    skip = np.where(n[np.arange(len(n)), chunk] == 1, wrong[np.arange(len(n)), chunk].argmax(axis=1), 0)
+    return skip * wrong.shape[1] + chunk
+
+
+def _near_pairs(most: int, similarity: float, width: int):
+    """The pairs of each block whose components differ and which may be linked; rows come sorted by block.
+
+    A pair is given out by the group of the first key that it shares, and so once.
+    """
+
+    def found(rows: list[tuple]) -> list[tuple[int, int]]:
+        _, i, j, slot = rows[0][:4]
+        comp = np.array([r[5] for r in rows])
+        if (comp == comp[0]).all():
+            return []
+        sig = np.stack([np.frombuffer(r[6], np.uint16) for r in rows])
+        least, block = [np.frombuffer(r[7], np.uint32) for r in rows], np.array([r[8] for r in rows])
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out = []
+        for at in left:
+            other = right[right > at] if i == j else right
+            other = other[comp[other] != comp[at]]
+            if len(other):
+                differ = sig[other] != sig[at]
+                keep = differ.sum(axis=1) <= most
+                other, differ = other[keep], differ[keep]
+                if len(other):
+                    out += [(rows[at][4], rows[k][4]) for k in other[first_slot(differ, width) == slot] if likely(least[at], least[k], similarity)]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        pairs: list[tuple[int, int]] = []
+
+        def batch() -> pa.RecordBatch:
+            both = [(min(p), max(p)) for p in pairs]
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in both], pa.int64()), pa.array([b for _, b in both], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if group and row[:4] != group[0][:4]:
+                    pairs += found(group)
+                    group = []
+                group.append(row)
+            if len(pairs) > 10_000:
+                yield batch()
+                pairs = []
+        if group:
+            pairs += found(group)
+        yield batch()
+
+    return run
 
 
 def _shared(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -165,20 +256,24 @@ def _sets(n: int):
 
 def classes(docs: DataFrame, n: int = 3, num: int = 85, den: int = 100, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs`; sets are linked if den * shared >= num * union."""
+    lean(docs.sparkSession)
     chunks = chunks_for(num / den, width)
     most = 2 * chunks - 1
     docs = docs.select("doc_id", "text")
-    rows = cut(docs.mapInArrow(_summaries(n, chunks * width), "doc_id long, n_shingles long, same binary, sig binary"), "signatures")
-    nodes = cut(rows.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "nodes")
-    buckets = cut(nodes.select("node", F.explode(F.arrow_udf(_keys(width), "array<long>")("sig")).alias("key")), "buckets")
-    first = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("key", "a")
-    star = buckets.join(first, "key").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    rows = cut(docs.mapInArrow(_summaries(n, chunks * width), "doc_id long, n_shingles long, same binary, sig binary, least binary"), "signatures")
+    nodes = cut(rows.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("least").alias("least")), "nodes")
+    buckets = cut(nodes.select("node", F.posexplode(F.arrow_udf(_keys(width), "array<long>")("sig")).alias("slot", "key")), "buckets")
+    sizes = buckets.groupBy("key", "slot").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = cut(buckets.join(sizes, ["key", "slot"]), "groups")
+    degree = buckets.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree"))
+    centre = buckets.join(degree, "node").groupBy("key", "slot").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("c")).select("key", "slot", (-F.col("c.minus")).alias("centre"))
+    star = buckets.join(centre, ["key", "slot"]).where("centre <> node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
 
     def near(pairs: DataFrame) -> DataFrame:
         """The pairs whose signatures are within the distance."""
-        sig = nodes.select("node", "sig")
-        both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-        return both.where(F.arrow_udf(_distance, "int")("sig_a", "sig_b") <= most).select("a", "b").distinct()
+        sig = nodes.select("node", "sig", "least")
+        both = pairs.join(sig.toDF("a", "sig_a", "least_a"), "a").join(sig.toDF("b", "sig_b", "least_b"), "b")
+        return both.where(F.arrow_udf(_may_link(most, num / den), "boolean")("sig_a", "sig_b", "least_a", "least_b")).select("a", "b").distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs linked by their full sets."""
@@ -195,10 +290,15 @@ def classes(docs: DataFrame, n: int = 3, num: int = 85, den: int = 100, width: i
     known = components(links)
     of = nodes.join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     placed = buckets.join(of, "node")
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = cut(placed.join(split, "key"), "rest")
-    pairs = rest.toDF("key", "a", "ca").join(rest.toDF("key", "b", "cb"), "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    pairs = cut(near(pairs.join(star, ["a", "b"], "left_anti")), "pairs")
+    split = placed.groupBy("key", "slot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "slot")
+    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rest = placed.join(split, ["key", "slot"]).join(nodes.select("node", "sig", "least"), "node")  # the wide columns come last
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "slot", "node", "component", "sig", "least", "block")
+    rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "slot")
+    pairs = cut(rest.mapInArrow(_near_pairs(most, num / den, width), "a long, b long"), "pairs")
+    pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         links = cut(links.union(confirmed(pairs)), "links")
         known = components(links)
