@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python in small batches: with long ones among them, the default's 10,000 rows are too many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def whole(docs: DataFrame) -> Column:
     """All columns as one, `r`, so that no column an operator adds can clash with them."""
     return F.struct(*[docs[c] for c in docs.columns]).alias("r")

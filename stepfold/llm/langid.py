@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.llm.common import in_fold, mix64
+from stepfold.llm.common import in_fold, lean, mix64
 
 DIMS = 1 << 16
 #: Shares of n-grams are small; times this, they train at ordinary learning rates.
@@ -130,6 +130,7 @@ def fit(docs: DataFrame, most: int = 2500, seed: int = 7) -> Model:
 
 
 def report(docs: DataFrame) -> DataFrame:
+    lean(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     @F.arrow_udf("lang_pred string, score double")

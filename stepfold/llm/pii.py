@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepfold.llm.common import lean
+
 KINDS = ("email", "ip", "card", "phone")
 Spans = list[tuple[int, int]]
 
@@ -216,6 +218,7 @@ def _digests(text: pa.Array) -> pa.Array:
 
 
 def report(docs: DataFrame) -> DataFrame:
+    lean(docs.sparkSession)
     kind = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_hidden long"
     return docs.select("doc_id", F.arrow_udf(_digests, kind)(F.col("text")).alias("r")).select("doc_id", *[f"r.{c}" for c in _OUT])
 

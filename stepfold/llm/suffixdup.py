@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.llm.common import bucketed, prefix_hash, span_hash
+from stepfold.llm.common import bucketed, lean, prefix_hash, span_hash
 
 SPAN = 50
 GRAM = 20
@@ -433,6 +433,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def report(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
+    lean(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = bucketed(rows.mapInArrow(_runs, "run long, ids binary, nulls binary, sizes binary, z binary"), "run")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

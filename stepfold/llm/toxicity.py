@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.llm.common import ascii_lower, cut, in_fold, whole
+from stepfold.llm.common import ascii_lower, cut, in_fold, lean, whole
 
 _STRIP = b".,;:!?\"'()[]{}<>*_-"
 
@@ -84,6 +84,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 12_000, least: int = 4, telling: float = 4.0, most_features: int = 20_000, seed: int = 5) -> tuple[dict[bytes, float], float]:
     """The model from labels and text of the rows whose fold is not 0 of 5."""
+    lean(docs.sparkSession)
     taught = lambda d: d.where(~in_fold(F.col("doc_id"), 5, 0))
     known = taught(labels).where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     total = known.agg(F.count("*").alias("n"), F.sum((F.col("_toxic") == 1).cast("int")).alias("p")).first()
@@ -123,6 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unla
 
 def scorer(docs: DataFrame, model: tuple[dict[bytes, float], float]):
     """The scores, from 0 to 1, of a text column."""
+    lean(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(text: pa.Array) -> pa.Array:
