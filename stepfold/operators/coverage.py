@@ -94,4 +94,34 @@ def extremes(stats: DataFrame, high: bool, n: int = 10) -> DataFrame:
     return stats.orderBy(*order).limit(n)
 
 
-__all__ = ["categories", "extremes", "feature_tokens", "low_confidence", "matrix", "pair_coverage", "summarise_pairs", "trace_columns", "trace_tokens", "variation"]
+# Relations whose follow-up is compared with another case, with what came before the session, or
+# with what came before the last key was generated.
+OTHER_CASE = ["known_pin_success", "known_pin_rejected", "wrong_pin_success", "wrong_pin_rejected"]
+EARLIER_SESSION = ["startsession_missing_sp_session", "startsession_wrong_host_session", "startsession_wrong_response_method", "malformed_challenge_success"]
+BEFORE_KEY = ["read_old_pattern_after_genkey", "read_success_missing_result", "read_wrong_response_command"]
+
+
+def source_prefixes(mutated: DataFrame, steps: DataFrame) -> DataFrame:
+    """name, source_case, n_source: of which case, and how many of its steps, a follow-up case is compared with.
+
+    Mostly the observed case up to the changed step; for some relations a shorter prefix, or the first two
+    steps of the first other case, so that both sides differ in what they exercise. steps: case_id,
+    step_idx, input.
+    """
+    key = F.get_json_object("input", "$.method.name") == "GenKey"
+    sizes = steps.groupBy("case_id").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.when(key, F.col("step_idx")))).alias("keys"))
+    order = F.struct(X.case_number(F.col("case_id")).alias("k"), "case_id")
+    firsts = sizes.select("case_id", "n", order.alias("o")).orderBy("o").limit(2).agg(F.array_sort(F.collect_list(F.struct("o", "case_id", "n"))).alias("firsts"))
+    d = mutated.select("name", "source", "relation").join(sizes, F.col("source") == F.col("case_id")).crossJoin(F.broadcast(firsts))  # one row
+    other = F.get(F.filter("firsts", lambda f: f["case_id"] != F.col("source")), 0)
+    i = F.coalesce(X.trailing_index(F.col("name")), F.col("n"))
+    elsewhere = F.col("relation").isin(OTHER_CASE) | F.startswith("relation", F.lit("known_"))
+    before = F.array_max(F.filter("keys", lambda k: k < i))
+    size = (
+        F.when(i >= F.col("n"), F.col("n")).when(elsewhere & other.isNotNull(), F.least(F.lit(2), other["n"])).when(elsewhere, 1)
+        .when(F.col("relation").isin(EARLIER_SESSION) & (i >= 2), F.greatest(F.lit(1), i - 1)).when(F.col("relation").isin(BEFORE_KEY), F.coalesce(before, F.lit(1))).otherwise(i + 1)
+    )
+    return d.select("name", F.when((i < F.col("n")) & elsewhere & other.isNotNull(), other["case_id"]).otherwise(F.col("source")).alias("source_case"), size.cast("int").alias("n_source"))
+
+
+__all__ = ["categories", "extremes", "feature_tokens", "low_confidence", "matrix", "pair_coverage", "source_prefixes", "summarise_pairs", "trace_columns", "trace_tokens", "variation"]

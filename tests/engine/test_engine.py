@@ -223,6 +223,12 @@ def test_coverage_tokens(steps):
     assert {"rule:ACTIVATE_TARGET", "rule_transition:STARTSESSION_EFFECT->ACTIVATE_TARGET", "read:invoking_uid", "rule_write:STARTSESSION_EFFECT:authenticated", "spec_query:Activate SP UID"} <= set(t)
 
 
+def test_source_prefixes(spark, steps):
+    own = spark.createDataFrame([("read_after_genkey_old:read_old_pattern_after_genkey:3", "read_after_genkey_old", "read_old_pattern_after_genkey"), ("get_full:known_locking_get_fail:1", "get_full", "known_locking_get_fail"), ("get_full:get_empty_success:1", "get_full", "get_empty_success")], "name string, source string, relation string")
+    got = {r["name"]: (r["source_case"] == r["name"].split(":")[0], r["n_source"]) for r in coverage.source_prefixes(own, steps).collect()}
+    assert list(got.values()).count((True, 2)) == 2 and sum(not same for same, _ in got.values()) == 1
+
+
 def test_prompts(steps):
     p = {r["case_id"]: r["prompt"] for r in render.prompts(steps).collect()}
     lines = p["get_full"].splitlines()
