@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_bitsliced_topk": bitsliced.TOP_K_SQL}
+    return {"op5_suffix_dedup": suffixdup.REPORT_SQL, "op6_multiindex_neardup": neardup.CLASSES_SQL, "op8_bitsliced_topk": bitsliced.TOP_K_SQL}

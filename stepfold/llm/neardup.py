@@ -321,3 +321,15 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     kept = rows.join(group, rows["doc_id"] == group["_id"], "left").where("_group is null or _group = doc_id")
     nth = F.row_number().over(W.partitionBy("doc_id", "text_hash").orderBy(F.lit(0)))
     return kept.withColumn("nth", nth).where("nth = 1").select("r.*")
+
+
+CLASSES_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM w),
+x AS (SELECT doc_id, unnest(sh) AS sh FROM s),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM k JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * k >= 85 * (len(p.sh) + len(q.sh) - k)),
+r AS (SELECT doc_id AS node, doc_id AS top FROM s UNION SELECT e.b, r.top FROM r JOIN e ON e.a = r.node)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.top) AS component_id, s.doc_id = min(r.top) AS kept FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, s.sh
+"""

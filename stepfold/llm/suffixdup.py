@@ -448,3 +448,17 @@ def report(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     told = dealt(sent).mapInArrow(_sorted, "run long, bits binary, gone binary")
     told = told.groupBy("run").agg(F.collect_list("bits").alias("bits"), F.collect_list("gone").alias("gone"))
     return held.join(told.hint("shuffle_hash"), "run", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+REPORT_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, a, substr(h, 2 * a + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS a FROM d)),
+l AS (SELECT s, min(doc_id) AS least FROM w GROUP BY ALL HAVING count(*) > 1),
+g AS (SELECT doc_id, a FROM w JOIN l USING (s) WHERE least < doc_id),
+b AS (SELECT *, CASE WHEN a <= 50 + max(a) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM g),
+i AS (SELECT doc_id, n, min(a) AS a, max(a) + 50 AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a) AS n FROM b) GROUP BY ALL),
+p AS (SELECT i.doc_id, n, a, e, coalesce(lag(e) OVER (PARTITION BY i.doc_id ORDER BY a), 0) AS before FROM i),
+k AS (SELECT p.doc_id, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS kept, max(e) AS last, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM p JOIN d USING (doc_id) GROUP BY ALL)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept || substr(h, CAST(2 * last + 1 AS BIGINT)), h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
