@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from stepfold.functions.text import truncated
 from stepfold.operators.sequence import by_step
 
+# The wording of prompts.
 ASK = "Is the final response consistent with the TCG/Opal specification? Answer: "
 HEAD = "TCG/Opal SSD protocol trajectory verification."
 SYSTEM = "You are a TCG/Opal SSD protocol compliance verifier. Given a command-response trajectory with session state, determine if the final response is consistent with the specification. Answer exactly: pass or fail"

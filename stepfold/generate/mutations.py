@@ -23,6 +23,7 @@ from stepfold.operators.normalise import _columns_of, normalise
 from stepfold.operators.rules import ACCESSIBLE_COLUMNS, BOOLEAN_COLUMNS
 from stepfold.operators.sequence import by_step, first_after, latest_before
 
+# Responses, in the shapes that logs have.
 EMPTY = '{"return_values": [], "status_codes": "SUCCESS"}'
 STRANGE = '{"return_values": [{"unexpected": 1}], "status_codes": "SUCCESS"}'
 SYNC = '{"method": {"name": "%s"}, "return_values": {"required": {%s}, "optional": {}}, "status_codes": "SUCCESS"}'

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stepfold.functions import text as X
 from stepfold.operators.metrics import relation_stats, variation
 
+# The categories, the rules that explain little, and the rules of three of the categories.
 CATEGORIES = ["parser", "object_identity", "precondition", "state_effect", "status_invariant", "payload_invariant", "spec_backed", "tested"]
 LOW_CONFIDENCE = ["DEFAULT_PASS", "PARSE_FINAL_COMMAND", "UNEXPECTED_ERROR_STATUS"]
 # The categories that do not apply to a method; all others do.

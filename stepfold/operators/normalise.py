@@ -9,6 +9,7 @@ from stepfold.functions import text as X
 from stepfold.functions import tokens as K
 from stepfold.operators.rules import ACCESSIBLE_COLUMNS, BOOLEAN_COLUMNS, KIND_UIDS
 
+# Status and method words, keys of session ids, markers of properties, words that are no secrets.
 _STATUSES = ["success", "fail", "notauthorized", "invalidparameter"]
 _METHODS = ["propertiess", "properties", "startsession", "endsession", "get", "set", "activate", "genkey", "read", "write"]
 _SESSION_IDS = ["hsn", "tsn", "sessionid", "hostsessionid", "spsessionid", "hostsessionnumber", "tpersessionnumber"]
