@@ -146,7 +146,8 @@ def families(spark: SparkSession) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("case_id", F.concat_ws("/", "family", "description"))
+    # dealt anew, so that what is computed on the cases is planned once, not for each part of the union
+    return out.withColumn("case_id", F.concat_ws("/", "family", "description")).repartition("case_id")
 
 
 def split(cases: DataFrame, key: str = "case_id", seed: int = 42, shares: tuple[float, float] = (0.6, 0.8)) -> DataFrame:
