@@ -176,6 +176,28 @@ def test_code_is_a_distribution():
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_code_of_all_training_words_is_a_distribution():
+    train = [ctxmix.tokens(t) for t in ("a b a c a b", "b a a d", "c a b a b e f g h i")]
+    c = Counter(w for t in train for w in t)
+    head = [w for w, _ in c.most_common(3)] + ([] if b"" in dict(c.most_common(3)) else [b""])
+    m = ctxmix.start_model([(w, c[w]) for w in head], sum(c.values()), len(c))
+    rest = [w for w in c if w not in head]
+    m.set_rare(ctxmix.word_hashes([b" ".join(rest)])[0], np.array([c[w] for w in rest]))
+    m.logit = np.random.default_rng(1).normal(size=m.slots).astype(np.float32)
+    bits = lambda *w: ctxmix.bits_of(m, ctxmix.read(m, [[b"a", b"e", *w]]))[0]
+    assert sum(2 ** (bits() - bits(w)) for w in [*c, b"unknown"]) == pytest.approx(1, abs=1e-3)
+
+
+def test_words_outside_the_head_are_predicted_from_their_contexts(spark, monkeypatch):
+    """Each rare word always follows one other: knowing that, it costs far less than by its count."""
+    monkeypatch.setattr(ctxmix, "HEAD", 3)
+    rnd = random.Random(8)
+    rows = [(i, " ".join(f"{w}x{k} {w}y{k}" for w, k in ((rnd.choice("pq"), rnd.randrange(30)) for _ in range(100)))) for i in range(150)]
+    held = ctxmix.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert sum(r["n_known"] for r in held) == sum(r["n_tokens"] for r in held) > 0
+    assert sum(r["score"] for r in held) > 0.75 * sum(r["base_score"] for r in held)
+
+
 # --- 5 ---
 
 
