@@ -1,13 +1,13 @@
 """Personal data, also where it is disguised: offset-preserving deobfuscation.
 
 Identifiers are first found in the text as it stands (the base spans, by the fixed patterns below).
-Texts that show a sign of disguise then pass through rewriting transducers, each of which keeps for
-every character that it writes the source characters it stands for:
+All texts then pass through rewriting transducers, each of which keeps for every character that it
+writes the source characters it stands for:
   1. look-alikes of ASCII characters become these, invisible characters go;
   2. spelled digits in a row become digits, and `plus` before a digit a plus sign;
   3. `[at]`, `(dot)` and the like, and the bare words in `name at host dot org`, become @ and full stops.
-The same detectors run over the rewritten text, and what they find is mapped back to source
-characters. Found spans that overlap a base span of their kind add nothing; base spans always stay.
+Where that changes a text, the same detectors run over the rewritten one, and what they find is mapped
+back to source characters. Found spans that overlap a base span of their kind add nothing; base spans always stay.
 
 The counts and base_sha256 are of base spans; `spans` has all, and n_hidden says how many were added.
 
@@ -102,8 +102,6 @@ DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 _NAMES = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
 _ODD = re.compile("[­²³·¹ıɑ-ʯͰ-ԯ​-‍‐-–․⁠⁰-₟℀-↏∂−①-⓿。﻿！-～\U0001d400-\U0001d7ff]")
 _INVISIBLE = frozenset("­​‌‍⁠﻿")
-_SPELLED = re.compile(rf"(?:{_NAMES})(?:[ \t-]+(?:{_NAMES}|dot|point))+[ \t-]")
-_SIGNS = re.compile(r"[\[({<][ \t]*(?:at|dot|punkt|point|punto|arroba)[ \t]*[\])}>]|[ \t]dot[ \t]|[ \t]arroba[ \t]")
 
 
 @lru_cache(4096)
@@ -121,15 +119,19 @@ class Rewritten:
     """A text and, for each of its characters, the start and end of the source characters it stands for."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.start, self.end = text, [], []
+        self.changed = False
 
     def rewrite(self, pattern: re.Pattern, become: Callable[[re.Match], str | None]) -> None:
-        """Replace each match by what `become` gives for it; None leaves it."""
+        """Replace each match by what `become` gives for it; None, or the same again, leaves it."""
         text, start, end, at = [], [], [], 0
         for m in pattern.finditer(self.text):
             new = become(m)
-            if new is None:
+            if new is None or new == m.group():
                 continue
+            if not self.changed:
+                self.changed, n = True, len(self.text)
+                self.start, self.end = list(range(n)), list(range(1, n + 1))
             i, j = m.span()
             text += [self.text[at:i], new]
             start += self.start[at:i] + [self.start[i]] * len(new)
@@ -144,7 +146,7 @@ class Rewritten:
 
 _RUN = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:(?:plus[ \t-]+)?(?:(?:{_NAMES})(?:[ \t]*[-,][ \t]*|[ \t]+|(?=[.)( ]|$)))+)(?=[^A-Za-z]|$)|(?<![A-Za-z])plus[ \t]+(?=[0-9])")
 _TOKEN = re.compile(rf"(?i){_NAMES}")
-_BRACKETED = re.compile(r"(?i)[ \t]*[\[({<][ \t]*(at|dot|punkt|point|punto|arroba)[ \t]*[\])}>][ \t]*")
+_BRACKETED = re.compile(r"(?i)(?:(?<![ \t])[ \t]+)?[\[({<][ \t]*(at|dot|punkt|point|punto|arroba)[ \t]*[\])}>][ \t]*")
 _BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}?(?:[ \t]+dot[ \t]+[A-Za-z0-9_%+-]{1,64})*)[ \t]*(?:[ \t]at[ \t]|[ \t]arroba[ \t]|@)[ \t]*([A-Za-z0-9-]{1,63}(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]{1,63})*(?:[ \t]+dot[ \t]+|\.)[A-Za-z]{2,24})(?![A-Za-z0-9-])")
 _DOT = re.compile(r"(?i)[ \t]+dot[ \t]+")
 _QUAD_WORDS = re.compile(r"(?i)(?<![0-9.])[0-9]{1,3}(?:[ \t]*(?:\.|[ \t](?:dot|point)[ \t])[ \t]*[0-9]{1,3}){3}(?![0-9])")
@@ -163,14 +165,6 @@ def _bare(m: re.Match) -> str | None:
     return _DOT.sub(".", m.group(1)) + "@" + _DOT.sub(".", m.group(2)) if _DOT.search(m.group()) else None
 
 
-def disguised(text: str) -> bool:
-    """Whether a text shows any sign of what the transducers undo."""
-    if not text.isascii() and _ODD.search(text):
-        return True
-    low = text.lower()
-    return bool(_SIGNS.search(low) or _SPELLED.search(low))
-
-
 def deobfuscate(text: str) -> Rewritten:
     r = Rewritten(text)
     if not text.isascii():
@@ -187,8 +181,8 @@ def find(text: str | None) -> tuple[dict[str, Spans], dict[str, Spans]]:
     text = text or ""
     base = {k: f(text) for k, f in DETECT.items()}
     more: dict[str, Spans] = {k: [] for k in KINDS}
-    if text and disguised(text):
-        r = deobfuscate(text)
+    r = deobfuscate(text)
+    if r.changed:
         for k, f in DETECT.items():
             held = sorted(base[k])
             for i, j in map(r.source, f(r.text)):

@@ -409,6 +409,14 @@ def test_disguises(text, kind, span):
     assert pii.mask(text).count(f"<{kind}>") == 1
 
 
+@pytest.mark.parametrize(("text", "kind", "span"), [
+    ("call plus 44 20 7946 0958 now", "phone", "plus 44 20 7946 0958"), ("plus four, four, two, zero, seven, nine, four, six, zero, nine", "phone", "plus four, four, two, zero, seven, nine, four, six, zero, nine"),
+    ("ring +44 20 seven 946 0958.", "phone", "+44 20 seven 946 0958"), ("at 192 point 168 point 0 point 17", "ip", "192 point 168 point 0 point 17"), ("on 10 . 0 . 0 . 12 up", "ip", "10 . 0 . 0 . 12"),
+])
+def test_slight_disguises(text, kind, span):
+    assert any(i <= text.index(span) and j >= text.index(span) + len(span) for i, j in pii.find(text)[1][kind])
+
+
 def test_pii(docs, none, corpus, spark):
     rows = pii.report(docs).collect()
     assert len(rows) == len(corpus) and all(r["n_email"] == 0 and r["spans"] == "" for r in rows)
