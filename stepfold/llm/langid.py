@@ -6,8 +6,9 @@ weight vector a language is trained with follow-the-regularised-leader and elast
 penalties, whose L1 part leaves most weights at zero. A temperature, fitted on documents that the
 weights have not seen, then calibrates the probabilities.
 
-The classifier is fitted on a bounded, hash-ordered sample of at most `most` labelled documents of the
-training folds; every whole text is predicted, in Arrow batches.
+Inverse document frequencies count all texts of the training folds, labelled or not. The classifier is
+fitted on a bounded, hash-ordered sample of their labelled texts: `most`, shared out among the languages
+by their own counts, but at least `least` of each language (or all that it has). Every whole text is predicted, in Arrow batches.
 
 Defined cases: a null text, or one without a letter, is `und` with score 1; without any labelled text
 all are `und` with score 0; null ids belong to the fold of empty text; ties go to the first language by
@@ -16,16 +17,19 @@ code point; equal texts get equal results; an empty table gives no rows; other c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from stepfold.llm.common import in_fold, lean, mix64
 
 DIMS = 1 << 16
+CHUNK = 1 << 12
 #: Shares of n-grams are small; times this, they train at ordinary learning rates.
 GAIN = 100.0
 _SALT = (np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xAEF17502108EF2D9))
@@ -96,18 +100,18 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_class: int,
     return w[:-1], w[-1]
 
 
-def train(texts: list[str], langs: list[str]) -> Model:
+def train(texts: list[str], langs: list[str], df: np.ndarray, n_texts: int) -> Model:
+    """The model of labelled texts; df: how many of n_texts texts have an n-gram, by place."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((DIMS, 0), np.float32), np.zeros(0), 1.0)
     y = np.array([names.index(x) for x in langs])
-    counted, df = [], np.zeros(DIMS)
+    counted = []
     for t in texts:
         g = ngrams(t)
         at, n = np.unique(g, return_counts=True)
-        df[at] += 1
         counted.append((at, n / len(g)))
-    idf = np.log((1 + len(texts)) / (1 + df)) + 1
+    idf = np.log((1 + n_texts) / (1 + df)) + 1
     rows = [(at, GAIN * tf * idf[at]) for at, tf in counted]
     fitted = len(rows) - len(rows) // 5
     w, b = ftrl(rows[:fitted], y[:fitted], len(names))
@@ -119,14 +123,65 @@ def train(texts: list[str], langs: list[str]) -> Model:
     return Model(names, (w * (GAIN * idf)[:, None]).astype(np.float32), b, float(t))
 
 
-def fit(docs: DataFrame, most: int = 2500, seed: int = 7) -> Model:
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of a task have an n-gram, by place, in chunks; chunk -1 is the number of texts."""
+    df, n = np.zeros(DIMS, np.int64), 0
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            if has_letter(t):
+                seen = np.zeros(DIMS, bool)
+                seen[ngrams(t)] = True
+                df += seen
+                n += 1
+    if n:
+        rows = [(-1, np.array([n]).tobytes()), *((at // CHUNK, df[at : at + CHUNK].tobytes()) for at in range(0, DIMS, CHUNK))]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["chunk", "counts"])
+
+
+def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, c in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist()):
+            held[k] = held.get(k, 0) + np.frombuffer(c, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["chunk", "counts"])
+
+
+def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """How many of all texts with a letter have an n-gram, by place, and the number of these texts."""
+    kind = "chunk int, counts binary"
+    df, n = np.zeros(DIMS), 0
+    for r in texts.mapInArrow(_frequencies, kind).repartition("chunk").mapInArrow(_sum_chunks, kind).collect():
+        got = np.frombuffer(r["counts"], np.int64)
+        if r["chunk"] < 0:
+            n = int(got[0])
+        else:
+            df[r["chunk"] * CHUNK :][:CHUNK] = got
+    return df, n
+
+
+def sample(known: DataFrame, most: int, least: int) -> list[Row]:
+    """lang, text of `most` rows, shared out by the languages' counts, but `least` of each at least."""
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not sizes:
+        return []
+    every = sum(sizes.values())
+    quota = {k: min(n, max(least, -(-most * n // every))) for k, n in sizes.items()}
+    # a hashed share of each language, so that only the sample is sorted
+    rows = [(k, q, min(1 << 30, int((3 * q + 200) / sizes[k] * (1 << 30)))) for k, q in quota.items()]
+    by_lang = F.broadcast(known.sparkSession.createDataFrame(rows, "lang string, _quota long, _below long"))
+    near = known.join(by_lang, "lang").where(F.pmod("_o", F.lit(1 << 30)) < F.col("_below"))
+    ranked = near.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy("_o")))
+    return ranked.where(F.col("_rank") <= F.col("_quota")).orderBy("_o", "lang").collect()
+
+
+def fit(docs: DataFrame, most: int = 2500, seed: int = 7, least: int = 50) -> Model:
     """The model from text and lang of the rows whose fold is not 1 of 3."""
-    known = docs.where(~in_fold(F.col("doc_id"), 3, 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("_o"))
-    n = docs.count()
-    near = min(1.0, 3 * (most + 200) / max(1, n))  # a hashed share, so that only the sample is sorted
-    got = known.where(F.pmod("_o", F.lit(1 << 30)) < near * (1 << 30)).orderBy("_o").limit(most).collect()
-    got = [r for r in got if has_letter(r["text"])]
-    return train([r["text"] for r in got], [r["lang"] for r in got])
+    own = docs.where(~in_fold(F.col("doc_id"), 3, 1) & F.col("text").isNotNull())
+    known = own.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("_o"))
+    got = [r for r in sample(known, most, least) if has_letter(r["text"])]
+    if not got:
+        return train([], [], np.zeros(DIMS), 0)
+    return train([r["text"] for r in got], [r["lang"] for r in got], *frequencies(own.select("text")))
 
 
 def report(docs: DataFrame) -> DataFrame:

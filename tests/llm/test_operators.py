@@ -370,6 +370,22 @@ def test_langid(docs, none, corpus):
     assert langid.report(none).count() == 0
 
 
+def test_langid_samples_labelled_rows_and_each_language(spark):
+    """Few labelled rows among many, and a language that is rare among them; frequencies are of all texts."""
+    rows = [(i, "the thin thing" if i % 20 else ("zyx wvu" if i % 400 == 0 else "ein und sein"), None if i % 20 else ("xx" if i % 400 == 0 else "de")) for i in range(9000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    known = d.where("lang is not null").selectExpr("lang", "text", "xxhash64(doc_id) as _o")
+    n = Counter(r[2] for r in rows if r[2])
+    assert Counter(r["lang"] for r in langid.sample(known, 100, 10)) == {"de": -(-100 * n["de"] // (n["de"] + n["xx"])), "xx": 10}
+    df, texts = langid.frequencies(d.select("text"))
+    assert texts == 9000 and df[np.unique(langid.ngrams("zyx"))].min() >= n["xx"] and df[langid.ngrams("thin")[1]] >= 8550
+    got = {(r["lang_pred"]) for r in langid.report(d).join(d.where("lang = 'xx'"), "doc_id").collect()}
+    assert got == {"xx"} and any(fold(r[0]) for r in rows if r[2] == "xx")
+    model = langid.fit(d, most=60)
+    assert model.langs == ["de", "xx"]
+
+
 def test_langid_on_the_tables(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = langid.report(d).where("held_out").join(d.select("doc_id", "lang"), "doc_id").collect()
