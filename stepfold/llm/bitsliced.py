@@ -9,8 +9,12 @@ rows that tie at the boundary are resolved by their ids. Chunks' winners meet pe
 A negative query component adds the complements of the slices: that changes all scores of the query by
 one constant, which is taken off again.
 
-Defined cases: vectors that are null, or hold null or non-finite components, or a component of 2**24 or
-more after scaling, take no part, and empty vectors and null ids none either; vectors meet only those
+Vectors with a component of 2**24 or more after scaling (wide ones) are not sliced: their products, as
+query or as candidate, are summed in integers of any length.
+
+Defined cases: vectors that are null, or hold null or non-finite components, take no part, and empty
+vectors and null ids none either; a score beyond 64 bits ranks by its exact value and is given as the
+nearest 64-bit integer; vectors meet only those
 of the same length; rows with the query's own id are not its candidates; ties go to the smaller id;
 fewer than k candidates give fewer rows; other columns are not looked at.
 """
@@ -21,16 +25,27 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 LIMIT = 1 << 24
+WHOLE = 2.0**53  # from here on, a double is an integer
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, q (the quantised components), dim, of the vectors that take part."""
-    q = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < LIMIT / scale)
-    return vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", fine)).select(F.col("vec_id").cast("long").alias("vec_id"), q.cast("array<int>").alias("q"), F.size("embedding").alias("dim"))
+    """vec_id, q (the quantised components) or, for wide vectors, wide (these / scale), dim, of the vectors that take part."""
+    by = lambda f: F.transform("embedding", lambda x: f(x.cast("double")))
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
+    narrow = F.forall("embedding", lambda x: F.abs(x.cast("double")) < LIMIT / scale)
+    floor = lambda x: F.floor(F.lit(float(scale)) * x)
+    whole = lambda x: F.when(F.abs(x) < WHOLE, floor(x).cast("double") / scale).otherwise(x)
+    rows = vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", fine))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(narrow, by(floor)).cast("array<int>").alias("q"), F.when(~narrow, by(whole)).alias("wide"), F.size("embedding").alias("dim"))
+
+
+def integers(q: list, wide: list | None, scale: int = 256) -> np.ndarray:
+    """The quantised components as integers of any length."""
+    if wide is None:
+        return np.array([int(x) for x in q], object)
+    return np.array([int(x) * scale if abs(x) >= WHOLE else int(x * scale) for x in wide], object)
 
 
 class Slices:
@@ -113,29 +128,50 @@ class Slices:
 def _meet(k: int):
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        if len(left) and len(right):
-            held = Slices(right["vec_id"].to_numpy(np.int64), np.stack(right["q"].to_numpy()).astype(np.int64))
-            for qid, q in zip(left["vec_id"], left["q"]):
-                ids, scores = held.top(int(qid), np.asarray(q, np.int64), k)
-                out += [(int(qid), int(i), int(s)) for i, s in zip(ids, scores)]
+        if not (len(left) and len(right)):
+            return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        sliced, others = right[right["r_q"].notna()], right[right["r_q"].isna()]
+        held = Slices(sliced["r_vec_id"].to_numpy(np.int64), np.stack(sliced["r_q"].to_numpy()).astype(np.int64)) if len(sliced) else None
+        large = [(int(i), integers(None, w)) for i, w in zip(others["r_vec_id"], others["r_wide"])]
+        for qid, q, wide in zip(left["vec_id"], left["q"], left["wide"]):
+            best: list[tuple[int, int]] = []
+            exact = integers(q, wide) if large or q is None else None
+            if held and q is not None:
+                best += [(int(s), int(i)) for i, s in zip(*held.top(int(qid), np.asarray(q, np.int64), k))]
+            elif held:
+                best += [(int(s), int(i)) for i, s in zip(held.ids, held.q.astype(object) @ exact) if i != qid]
+            best += [(int(v @ exact), i) for i, v in large if i != qid]
+            out += [(int(qid), i, str(s)) for s, i in sorted(best, key=lambda x: (-x[0], x[1]))[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return run
 
 
+def _ranked(k: int):
+    """The k best of a query's winners in all chunks; scores come as decimal text."""
+
+    def run(found: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(((-int(s), int(i)) for s, i in zip(found["score"], found["vec_id"])))[:k]
+        qid = int(found["query_id"].iloc[0])
+        return pd.DataFrame([(qid, n + 1, i, max(-1 << 63, min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(rows)], columns=["query_id", "rank", "vec_id", "score"])
+
+    return run
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, chunk_rows: int = 16384, query_rows: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k best among all other rows."""
     q = quantised(vectors)
     n = q.count()
     chunks, groups = max(1, -(-n // chunk_rows)), max(1, -(-n // (every * query_rows)))
-    data = q.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "q"), F.lit(chunks)).cast("int"))
-    asked = q.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "q"]).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(groups)).cast("int"))
+    data = q.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "q", "wide"), F.lit(chunks)).cast("int"))
+    asked = q.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "q", "wide"]).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(groups)).cast("int"))
     left = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    right = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # under names of their own: of columns that both sides share, Spark would prune the right side's
+    own = data.select(*[F.col(c).alias(f"r_{c}") for c in ("vec_id", "q", "wide")], "dim", "chunk")
+    right = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     by = ["dim", "chunk", "part"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_meet(k), "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_meet(k), "query_id long, vec_id long, score string")
+    return found.groupBy("query_id").applyInPandas(_ranked(k), "query_id long, rank int, vec_id long, score long")
 
 
 TOP_K_SQL = """

@@ -357,6 +357,23 @@ def test_top_k(spark):
     assert bitsliced.top_k(v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("chunk", [40, 10_000])
+def test_top_k_of_large_components(spark, kind, chunk):
+    """Every finite vector takes part, as query and as candidate, whatever its size."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 4).astype(np.float32)]) for i in range(130)]
+    for i, scale in ((0, 1e5), (3, 65536.0), (4, -65535.99), (7, 3e9), (50, 1e13), (51, 1e13), (60, 2e35)):
+        rows[i] = (i, [float(np.float32(scale * x)) for x in rows[i][1]])
+    v = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    q = {i: [floor(256 * x) if abs(x) < 2**50 else int(x) * 256 for x in e] for i, e in rows}
+    want = set()
+    for i in (0, 50, 100):
+        best = sorted((-sum(a * b for a, b in zip(q[i], e)), j) for j, e in q.items() if j != i)[:5]
+        want |= {(i, n + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, j) in enumerate(best)}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in bitsliced.top_k(v, chunk_rows=chunk).collect()} == want
+
+
 # --- 9 ---
 
 
