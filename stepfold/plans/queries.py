@@ -667,7 +667,7 @@ def mutation_relations(spark, sf_dir):
     from stepfold.generate.families import families
     from stepfold.plans.verdict import verify
 
-    f = families(spark).where("family in ('R8', 'R10', 'R16') and label = 'pass'")
+    f = families(spark)
     s = f.select("case_id", F.posexplode("steps").alias("step_idx", "s")).select("case_id", "step_idx", "s.input", "s.output")
     m = mutations.mutate(s)
     return mutations.pass_rate(m, verify(mutations.as_steps(m)))
@@ -678,6 +678,6 @@ def family_prompts(spark, sf_dir):
     from stepfold.functions.render import prompts
     from stepfold.generate.families import families
 
-    f = families(spark).where("family in ('R10', 'R16')")
+    f = families(spark)
     s = f.select("case_id", F.posexplode("steps").alias("step_idx", "s")).select("case_id", "step_idx", "s.input", "s.output")
     return prompts(s)

@@ -218,6 +218,15 @@ def test_mutations(steps):
     assert len(rates) > 45 and all(rates[k] == 1 for k in exact), {k: rates[k] for k in exact if rates[k] < 1}
 
 
+def test_all_families_are_mutated_and_rendered(spark, sf_dir):
+    f = families.families(spark)
+    s = f.select("case_id", F.posexplode("steps").alias("step_idx", "s")).select("case_id", "step_idx", "s.input", "s.output")
+    want = {r["relation"]: r["count"] for r in mutations.mutate(s).groupBy("relation").count().collect()}
+    got = {r["relation"]: r["n"] for r in QUERIES["mutation_relations"](spark, sf_dir).collect()}
+    assert got == want
+    assert QUERIES["family_prompts"](spark, sf_dir).count() == s.select("case_id").distinct().count()
+
+
 def test_coverage_tokens(steps):
     t = coverage.trace_columns(verdict.verify(steps, with_trace=True)).where("case_id = 'activate_ok'").select(coverage.trace_tokens(F.col("trace")).alias("t")).first()["t"]
     assert {"rule:ACTIVATE_TARGET", "rule_transition:STARTSESSION_EFFECT->ACTIVATE_TARGET", "read:invoking_uid", "rule_write:STARTSESSION_EFFECT:authenticated", "spec_query:Activate SP UID"} <= set(t)
