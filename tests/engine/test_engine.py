@@ -227,6 +227,22 @@ def test_all_families_are_mutated_and_rendered(spark, sf_dir):
     assert QUERIES["family_prompts"](spark, sf_dir).count() == s.select("case_id").distinct().count()
 
 
+def test_terms_of_all_items_are_found(spark, tmp_path):
+    items = [(i, f"Word{i % 4}_common the term{i}") for i in range(25)] + [(30, None)]
+    docs = [(i, f"a WORD{i % 3} stands by term{i} and term{i + 1}") for i in range(20)] + [(40, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    score = {(i, d): n for i, t in items for d, x in docs if (n := sum(w in (x or "").lower() for w in {w for w in (t or "").lower().replace("_", " ").split() if len(w) >= 4}))}
+    counts, top = set(), set()
+    for i in {i for i, _ in score}:
+        own = sorted((-n, d) for (j, d), n in score.items() if j == i)
+        counts.add((i, len(own), -sum(n for n, _ in own)))
+        top |= {(i, d, -n, k + 1) for k, (n, d) in enumerate(own[:5])}
+    assert max(i for i, *_ in counts) > 10
+    assert {tuple(r) for r in QUERIES["term_hit_count_all"](spark, str(tmp_path)).collect()} == counts
+    assert {tuple(r) for r in QUERIES["topk_docs_per_query_all"](spark, str(tmp_path)).collect()} == top
+
+
 def test_coverage_tokens(steps):
     t = coverage.trace_columns(verdict.verify(steps, with_trace=True)).where("case_id = 'activate_ok'").select(coverage.trace_tokens(F.col("trace")).alias("t")).first()["t"]
     assert {"rule:ACTIVATE_TARGET", "rule_transition:STARTSESSION_EFFECT->ACTIVATE_TARGET", "read:invoking_uid", "rule_write:STARTSESSION_EFFECT:authenticated", "spec_query:Activate SP UID"} <= set(t)
