@@ -11,7 +11,8 @@ keeps this law, chance matches of templates don't. A document leaks an item if i
 alignments cover at least `coverage` of the item's windows.
 
 Benchmark windows of which over MOST_SLOTS tokens are placeholders say little and aren't used, unless
-the item has no others. Texts with fewer tokens than WIDTH are one window. Up to BROADCAST_WINDOWS
+the item has no others. Texts with fewer tokens than WIDTH are one window; where the benchmark has such
+items, documents have windows of their lengths too, so that they are found inside longer texts. Up to BROADCAST_WINDOWS
 benchmark windows (counted first; some 40 bytes each) are broadcast, and documents' windows are never
 shuffled; beyond that, both sides are shuffled by hash.
 
@@ -57,45 +58,50 @@ def _starts(n: Column, width: int) -> Column:
     return F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1)))
 
 
-def window_hashes(text: Column, width: int = WIDTH) -> Column:
-    """The distinct hashes of a text's windows; none for a text without tokens."""
+def window_hashes(text: Column, widths: list[int]) -> Column:
+    """The distinct hashes of a text's windows of some widths; none for a text without tokens."""
     tokens = F.regexp_extract_all(_marked(text, False), F.lit(rf"[{NUMBER}-{UNIT}]|\p{{L}}+"), F.lit(0))
-    hashed = lambda t: F.array_distinct(F.transform(_starts(F.size(t), width), lambda i: F.xxhash64(F.slice(t, i, F.lit(width)))))
+    at_width = lambda t, w: F.transform(_starts(F.size(t), w), lambda i: F.xxhash64(F.slice(t, i, F.lit(w))))
+    hashed = lambda t: F.array_distinct(F.concat(*[at_width(t, w) for w in widths]))
     # the tokens are computed once, as the only element of an array
     return F.element_at(F.transform(F.array(tokens), lambda t: F.when(F.size(t) > 0, hashed(t)).otherwise(F.array().cast("array<bigint>"))), 1)
 
 
-def valued_windows(texts: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
-    """The keys, and for each window its place, its hash, and the values of its placeholders, kind first."""
+def valued_windows(texts: DataFrame, keys: list[str], widths: list[int]) -> DataFrame:
+    """The keys, and for each window of some widths its place, its number of tokens, its hash, and the values of its placeholders, kind first."""
     raw = texts.select(*keys, F.regexp_extract_all(_marked(F.col("text"), True), F.lit(rf"[{NUMBER}-{UNIT}][^{END}]*{END}|\p{{L}}+"), F.lit(0)).alias("raw")).where(F.size("raw") > 0)
     held = lambda x: F.substring(x, 1, 1).between(NUMBER, UNIT)
     t = raw.select(*keys, F.transform("raw", lambda x: F.when(held(x), F.substring(x, 1, 1)).otherwise(x)).alias("t"), F.transform("raw", lambda x: F.when(held(x), x)).alias("slot"))
-    cells = F.transform(_starts(F.size("t"), width), lambda i: F.struct(F.xxhash64(F.slice("t", i, F.lit(width))).alias("h"), F.array_compact(F.slice("slot", i, F.lit(width))).alias("v")))
-    return t.select(*keys, F.posexplode(cells).alias("at", "w")).select(*keys, "at", "w.h", "w.v")
+    cell = lambda i, w: F.struct((i - 1).alias("at"), F.least(F.size("t"), F.lit(w)).alias("n"), F.xxhash64(F.slice("t", i, F.lit(w))).alias("h"), F.array_compact(F.slice("slot", i, F.lit(w))).alias("v"))
+    at_width = lambda w: F.transform(_starts(F.size("t"), w), lambda i: cell(i, w))
+    cells = F.concat(*[at_width(w) for w in widths])
+    return t.select(*keys, F.explode(cells).alias("w")).select(*keys, "w.at", "w.n", "w.h", "w.v")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, i_at, h, i_v of the windows that are used, and their number for the item."""
-    w = valued_windows(benchmark, ["item_id"]).distinct()
+    """item_id, i_at, n_tokens, h, i_v of the windows that are used, and their number for the item."""
+    w = valued_windows(benchmark, ["item_id"], [WIDTH]).distinct()
     plain = F.size("v") <= MOST_SLOTS
     n = w.groupBy(F.col("item_id").alias("_i")).agg(F.count_if(plain).alias("plain"), F.count("*").alias("all"))
     used = w.join(n, w["item_id"].eqNullSafe(n["_i"])).where((F.col("plain") == 0) | plain)
-    return used.select("item_id", F.col("at").alias("i_at"), "h", F.col("v").alias("i_v"), F.when(F.col("plain") == 0, F.col("all")).otherwise(F.col("plain")).cast("long").alias("n_windows"))
+    return used.select("item_id", F.col("at").alias("i_at"), F.col("n").alias("n_tokens"), "h", F.col("v").alias("i_v"), F.when(F.col("plain") == 0, F.col("all")).otherwise(F.col("plain")).cast("long").alias("n_windows"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, text_hash, item_id, n_windows, n_matched, n_slots, n_changed, kind of each leak."""
     items = cut(item_windows(benchmark), "item-windows")
     small = (lambda d: F.broadcast(d)) if items.count() <= BROADCAST_WINDOWS else (lambda d: d)
+    widths = sorted({WIDTH} | {r["n_tokens"] for r in items.select("n_tokens").distinct().collect()})
+    items = items.drop("n_tokens")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
     # first the hashes alone, for the documents that have enough of an item
     by_hash = items.groupBy("item_id", "h").agg(F.count("*").alias("times"), F.first("n_windows").alias("n_windows"))
-    hits = keyed.select("doc_id", "text_hash", F.explode(window_hashes(F.col("text"))).alias("h")).join(small(by_hash), "h")
+    hits = keyed.select("doc_id", "text_hash", F.explode(window_hashes(F.col("text"), widths)).alias("h")).join(small(by_hash), "h")
     enough = hits.groupBy("doc_id", "text_hash", "item_id", "n_windows").agg(F.sum("times").alias("n")).where(F.col("n") >= coverage * F.col("n_windows"))
     likely = cut(enough.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "likely")
     # then those with their values; Spark broadcasts `likely` if its files are small
     again = keyed.join(likely, keyed["doc_id"].eqNullSafe(likely["_id"]) & (keyed["text_hash"] == likely["_hash"]), "left_semi")
-    hits = valued_windows(again, ["doc_id", "text_hash"]).join(small(items), "h").where(F.size("v") == F.size("i_v"))
+    hits = valued_windows(again, ["doc_id", "text_hash"], widths).drop("n").join(small(items), "h").where(F.size("v") == F.size("i_v"))
     pairs = F.zip_with("i_v", "v", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
     who = ["doc_id", "text_hash", "item_id", "n_windows"]
     lines = hits.groupBy(*who, (F.col("at") - F.col("i_at")).alias("off")).agg(F.collect_set("i_at").alias("found"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))

@@ -85,6 +85,14 @@ def test_decontam(spark, docs, none):
         assert kept.columns == docs.columns and kept.count() >= a.count() - 2
 
 
+def test_decontam_finds_short_items_inside_longer_texts(spark):
+    items = spark.createDataFrame([(1, "What is 7*8?"), (2, "hidden word"), (3, "a text of six tokens here")], "item_id long, text string")
+    own = spark.createDataFrame([(1, "They ask at school: what is 7*8? Nobody knows."), (2, "Then they ask at school what is 9*4 and go."), (3, "There is a hidden word in this long text."), (4, "There is a word hidden in this long text.")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.report(own, items).collect()}
+    assert got == {(1, 1): "verbatim", (2, 1): "reparameterised", (3, 2): "verbatim"}
+    assert {r["doc_id"] for r in decontam.keep_clean(own, items).collect()} == {4}
+
+
 def test_decontam_finds_planted_passages(spark, sf_dir):
     d, b = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     want = {(x["doc_id"], i["item_id"]) for x in d.collect() for i in b.collect() if i["text"] in x["text"]}
