@@ -168,32 +168,109 @@ def test_context_mixing(spark, docs, none, corpus):
     assert ctxmix.score(docs.where("doc_id = 160")).count() == 1
 
 
-def test_code_is_a_distribution():
-    """Over all next words, the probabilities that the model gives sum up to one."""
-    train = [ctxmix.tokens(t) for t in ("a b a c a b", "b a a d", "c a b a b")]
-    c = Counter(w for t in train for w in t)
-    m = ctxmix.start_model(c.most_common(4), sum(c.values()), len(c))
-    m.logit = np.random.default_rng(1).normal(size=m.slots).astype(np.float32)
-    rest = log10(m.tail[0] + 0.5 * (m.tail[1] + 1))
-    base = 10 ** -(ctxmix.bits_of(m, ctxmix.read(m, [[b"a", b"b"]]))[0] * log10(2))
+def small_model(texts, n_head, seed=1):
+    """A model of some texts whose contexts, weights and probability map are arbitrary."""
+    h = ctxmix.hashed(texts)[0]
+    c = Counter(int(x) for x in h)
+    by = sorted(c, key=lambda x: (x != 0, -c[x], x))
+    head = sorted(by[:n_head], key=lambda x: (-c[x], x))
+    rest = by[n_head:]
+    depth = max(0, len(rest) // 4).bit_length()
+    buckets = np.zeros(1 << depth)
+    for x in rest:
+        buckets[x >> (64 - depth) if depth else 0] += c[x] + 0.5
+    known = ctxmix.Vocabulary(np.array(head + rest, np.uint64), np.array([*range(len(head)), *(-1 - c[x] for x in rest)]))
+    m = ctxmix.start_model([(x, c[x]) for x in head], len(h), len(c), buckets, sum(c[x] == 1 for x in rest), known, True)
+    rng = np.random.default_rng(seed)
+    m.logit = ctxmix.with_level(rng.normal(size=m.slots), rng.integers(0, 4, m.slots, dtype=np.uint32))
+    m.weights, m.refine = rng.normal(0.3, 0.2, m.weights.shape).astype(np.float32), rng.normal(0, 0.2, m.refine.shape).astype(np.float32)
+    return m
+
+
+@pytest.mark.parametrize("n_head", [1, 3, 8, 99])
+def test_code_of_all_training_words_is_a_distribution(n_head):
+    """Over all next words, the end and one unknown word among them, the probabilities that the model gives sum up to one."""
+    texts = ["a b a c a b", "b a a d", "c a b a b e f g h i j k l m n o p q r s t u v w x y z"]
+    m = small_model(texts, n_head)
     total = 0.0
-    for w in [*c, b"unknown"]:
-        cost = ctxmix.bits_of(m, ctxmix.read(m, [[b"a", b"b", w]]))[0]
-        p = 10 ** (-cost * log10(2)) / base
-        total += p if w in m.words else p * 10 ** (log10((c.get(w, 0)) + 0.5) - rest)
+    for w in [*"abcdefghijklmnopqrstuvwxyz", "unknown"]:
+        total += np.exp(-ctxmix.costs(m, ctxmix.read(m, [f"a e {w}"]))[2])
+    total += np.exp(-ctxmix.costs(m, ctxmix.read(m, ["a e"]))[2])
     assert total == pytest.approx(1, abs=1e-3)
 
 
-def test_code_of_all_training_words_is_a_distribution():
-    train = [ctxmix.tokens(t) for t in ("a b a c a b", "b a a d", "c a b a b e f g h i")]
-    c = Counter(w for t in train for w in t)
-    head = [w for w, _ in c.most_common(3)] + ([] if b"" in dict(c.most_common(3)) else [b""])
-    m = ctxmix.start_model([(w, c[w]) for w in head], sum(c.values()), len(c))
-    rest = [w for w in c if w not in head]
-    m.set_rare(ctxmix.word_hashes([b" ".join(rest)])[0], np.array([c[w] for w in rest]))
-    m.logit = np.random.default_rng(1).normal(size=m.slots).astype(np.float32)
-    bits = lambda *w: ctxmix.bits_of(m, ctxmix.read(m, [[b"a", b"e", *w]]))[0]
-    assert sum(2 ** (bits() - bits(w)) for w in [*c, b"unknown"]) == pytest.approx(1, abs=1e-3)
+def cost_by_hand(m, text):
+    """A text's cost, bit after bit, by the definitions alone."""
+    tokens = [int(x) for x in ctxmix.hashed([text])[0]]
+    mask, sigma = 0xFFFFFFFF, lambda z: 1 / (1 + np.exp(-z))
+    paths = ctxmix.huffman([float(c) for c in m.counts] + [max(float(m.n - m.counts.sum()), 0.5)])
+    total, mark, w = 0.0, None, None
+    for i, h in enumerate(tokens):
+        if i % ctxmix.SEGMENT == 0:
+            w = m.weights.astype(np.float64).copy()
+        k = int(m.words.find(np.array([h], np.uint64))[0])
+        said = [(t >> 32) & mask for t in tokens]
+        p1, p2 = said[i - 1] if i else 1, said[i - 2] if i > 1 else 1
+        k1 = p1 * 0x9E3779B1 & mask
+        keys = [((ctxmix.MARKS if mark is None else mark) + 1) * 0x27D4EB2F & mask, k1, ((k1 ^ k1 >> 15) * 0xC2B2AE3D + p2 * 0x27D4EB2F) & mask]
+        steps = list(paths[k if k >= 0 else m.escape])
+        if k < 0:
+            steps.append((m.escape, int(k < -1)))
+        if k < -1:
+            steps += [(m.escape + (1 << j) + (h >> 64 - j if j else 0), h >> 63 - j & 1) for j in range(m.depth)]
+        for node, bit in steps:
+            if np.isinf(m.order0[node]):
+                continue
+            z, seen = [float(m.order0[node])], []
+            for c, key in enumerate(keys):
+                s = (key + node * 0x85EBCA77) * 0xC2B2AE3D & mask
+                s = (s ^ s >> 13) * 0x9E3779B1 & mask
+                at = (s >> 32 - m.slot_bits) + (c << m.slot_bits)
+                z.append(float(m.logit[at]))
+                seen.append(int(m.logit[at : at + 1].view(np.uint32)[0]) & 3)
+            x, gate = np.array([*z, 0.3]), seen[1] * 3 + min(seen[2], 2)
+            mixed = w[gate] @ x
+            w[gate] += ctxmix.RATE * (bit - sigma(mixed)) * x
+            p = sigma(mixed + m.refine[gate, int(np.clip(mixed * 2.5 + 32, 0, 63))])
+            total -= np.log(p if bit else 1 - p)
+        if k < -1:
+            total += m.buckets[h >> 64 - m.depth if m.depth else 0] - np.log(-k - 0.5)
+        mark = k if 0 <= k < ctxmix.MARKS else mark
+    return total
+
+
+def test_scores_are_those_of_mixing_bit_by_bit(monkeypatch):
+    monkeypatch.setattr(ctxmix, "SEGMENT", 40)
+    monkeypatch.setattr(ctxmix, "MARKS", 3)
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice("abcdefgh") + rnd.choice("xyz" * 3 + "uvw") for _ in range(rnd.randint(0, 130))) for _ in range(9)]
+    m = small_model(texts[:5], 12)
+    run = ctxmix.read(m, texts)
+    got = np.add.reduceat(ctxmix.costs(m, run), np.cumsum(run.sizes) - run.sizes)
+    assert got == pytest.approx([cost_by_hand(m, t) for t in texts], rel=1e-4)
+
+
+def test_words_are_the_same_in_runs_of_any_length(monkeypatch):
+    texts = [None, "", " \t", "A b\x0bc " * 50, "one-very-long-word" * 9, "é ü\u00a0x y", "end"]
+    want = ctxmix.hashed(texts)
+    assert want[1].tolist() == [len(words(t)) + 1 for t in texts]
+    monkeypatch.setattr(ctxmix, "RUN_BYTES", 16)
+    got = ctxmix.hashed(texts)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_scores_are_the_same_without_a_broadcast_vocabulary(docs, monkeypatch):
+    monkeypatch.setattr(ctxmix, "HEAD", 8)
+    order = lambda rows: sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 4), round(r["score"], 2), round(r["bits_per_byte"], 3)) for r in rows)
+    want = order(ctxmix.score(docs).collect())
+    monkeypatch.setattr(ctxmix, "BROADCAST_WORDS", 10)
+    assert order(ctxmix.score(docs).collect()) == want
+
+
+def test_no_training_rows_leave_all_words_unknown(spark, docs):
+    held = docs.where("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 = 1")
+    rows = ctxmix.score(held).collect()
+    assert len(rows) == held.count() and all(r["n_known"] == r["train_tokens"] == 0 and np.isfinite(r["score"]) for r in rows)
 
 
 def test_words_outside_the_head_are_predicted_from_their_contexts(spark, monkeypatch):
