@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.llm.common import bucketed, lean, prefix_hash, span_hash
+from stepfold.llm.common import bucketed, lean, powers, prefix_hash, span_hash
 
 SPAN = 50
 GRAM = 20
@@ -138,21 +138,39 @@ def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray
 # --- the suffix sort ---------------------------------------------------------------------------
 
 
+def agree(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Whether the hashes of the `size` bytes from a and from b on agree."""
+    _, inv = powers(len(prefix))
+    return (prefix[a + size] - prefix[a]) * inv[a] == (prefix[b + size] - prefix[b]) * inv[b]
+
+
 def common(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Length, up to `most`, of the common prefixes of the suffixes at a and at b."""
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), most, np.int64)
-    for _ in range(int(most).bit_length()):
+    """Length, up to `most`, of the common prefixes of the suffixes at a and at b: `most` if their hashes agree, else by binary search."""
+    out = np.full(len(a), most, np.int64)
+    left = np.flatnonzero(~agree(prefix, a, b, most))
+    a, b = a[left], b[left]
+    _, inv = powers(len(prefix))
+    from_a, from_b, unit_a, unit_b = prefix[a], prefix[b], inv[a], inv[b]
+    low, high = np.zeros(len(a), np.int64), np.full(len(a), most - 1, np.int64)
+    for _ in range(int(most - 1).bit_length()):
         mid = (low + high + 1) >> 1
-        same = span_hash(prefix, a, a + mid) == span_hash(prefix, b, b + mid)
+        same = (prefix[a + mid] - from_a) * unit_a == (prefix[b + mid] - from_b) * unit_b
         low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-    return low
+    out[left] = low
+    return out
 
 
-def less(data: np.ndarray, prefix: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Whether the suffix at a comes before that at b by their first `most` bytes."""
+def compare(data: np.ndarray, prefix: np.ndarray, eight: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """-1, 0 or 1: how the suffixes at[i] stand to at[j] by their first `most` bytes; `eight` are their first bytes as numbers."""
+    x, y = eight[i], eight[j]
+    out = (x > y).astype(np.int8) - (x < y)
+    tie = np.flatnonzero(out == 0)
+    a, b = at[i[tie]], at[j[tie]]
     n = common(prefix, a, b, most)
     end = len(data) - 1
-    return (n < most) & (data[np.minimum(a + n, end)] < data[np.minimum(b + n, end)])
+    x, y = data[np.minimum(a + n, end)], data[np.minimum(b + n, end)]
+    out[tie] = np.where(n < most, (x > y).astype(np.int8) - (x < y), 0)
+    return out
 
 
 def suffix_sort(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
@@ -165,6 +183,7 @@ def suffix_sort(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, group: np.
     sizes = np.diff(np.append(begin, n))
     first, size = np.repeat(begin, sizes), np.repeat(sizes, sizes)
     local = np.arange(n) - first
+    eight = np.ascontiguousarray(rows_of(data, at, np.full(n, min(8, most)), 8)).view(">u8").ravel().astype(np.uint64)
     width = 1
     while width < sizes.max():
         rest = np.flatnonzero(size > width)  # groups that are not one sorted run yet
@@ -174,18 +193,16 @@ def suffix_sort(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, group: np.
         hi = np.minimum(lo + width, first[rest] + size[rest])
         a, b = np.minimum(lo, hi), hi.copy()
         begin_other = a.copy()
-        x = at[order[rest]]
-        while (open_ := a < b).any():
-            i = np.flatnonzero(open_)
+        own = order[rest]
+        # a suffix of the left run stands before equal ones of the right run
+        bound = np.where(left, 0, 1)
+        while len(i := np.flatnonzero(a < b)):
             mid = (a[i] + b[i]) >> 1
-            other = at[order[mid]]
-            # a suffix of the left run stands before equal ones of the right run
-            after = np.where(left[i], less(data, prefix, other, x[i], most), ~less(data, prefix, x[i], other, most))
+            after = compare(data, prefix, eight, at, order[mid], own[i], most) < bound[i]
             a[i], b[i] = np.where(after, mid + 1, a[i]), np.where(after, b[i], mid)
         base = first[rest] + (run - run % 2) * width
-        own = local[rest] - run * width
         new = order.copy()
-        new[base + own + (a - begin_other)] = order[rest]
+        new[base + (local[rest] - run * width) + (a - begin_other)] = own
         order = new
         width *= 2
     return order
@@ -237,7 +254,7 @@ def _compare_windows(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, si
     at, piece, k = at[order], piece[order], k[order]
     same = np.zeros(len(at), bool)
     near = np.flatnonzero(group[1:] == group[:-1])
-    equal = near[common(prefix, at[near], at[near + 1], span) == span]
+    equal = near[agree(prefix, at[near], at[near + 1], span)]
     sure = equal_spans(data, at[equal], at[equal + 1], np.full(len(equal), span))
     if not sure.all():  # a collision of hashes: order the groups it touches by their bytes
         for g in np.unique(group[equal[~sure]]):
@@ -287,7 +304,8 @@ def _anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for run_id, ids, sizes, z in zip(*(b.column(c).to_pylist() for c in ("run", "ids", "sizes", "z"))):
-                h = np.unique(Run(ids, sizes, z).hash)
+                h = np.sort(Run(ids, sizes, z).hash)
+                h = h[np.append(True, h[1:] != h[:-1])[: len(h)]]
                 to = (h % np.uint64(buckets)).astype(np.int64)
                 h, to = h[o := np.argsort(to, kind="stable")], to[o]
                 cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(h) else []
@@ -438,7 +456,8 @@ def report(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     held = bucketed(rows.mapInArrow(_runs, "run long, ids binary, nulls binary, sizes binary, z binary"), "run")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-int(total) // bucket_bytes))
-    dealt = lambda d: d.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    # a bucket is a partition: dealt by a hash, several would meet in one
+    dealt = lambda d: d.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     anchors = held.mapInArrow(_anchors(buckets), "bucket int, run long, h binary")
     found = dealt(anchors).mapInArrow(_shared, "run long, many binary, hot binary")
     found = found.groupBy("run").agg(F.collect_list("many").alias("many"), F.collect_list("hot").alias("hot"))
