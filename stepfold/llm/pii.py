@@ -4,8 +4,9 @@ Identifiers are first found in the text as it stands (the base spans, by the fix
 All texts then pass through rewriting transducers, each of which keeps for every character that it
 writes the source characters it stands for:
   1. look-alikes of ASCII characters become these, invisible characters go;
-  2. spelled digits in a row become digits, and `plus` before a digit a plus sign;
+  2. spelled digits in a row (English, German, French or Spanish) become digits, and `plus` before a digit a plus sign;
   3. `[at]`, `(dot)` and the like, and the bare words in `name at host dot org`, become @ and full stops.
+A disguise may go over the end of a line.
 Where that changes a text, the same detectors run over the rewritten one, and what they find is mapped
 back to source characters. Found spans that overlap a base span of their kind add nothing; base spans always stay.
 
@@ -97,9 +98,19 @@ LOOKALIKES = {
     "α": "a", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "τ": "t", "υ": "u", "ω": "w", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I",
     "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ı": "i", "ⅼ": "l", "∂": "d", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "。": ".", "·": ".",
 }
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-
-_NAMES = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
+# The names of the digits, and of plus, at and dot, in English, German, French and Spanish.
+NAMES = {
+    "0": "zero oh null zéro cero", "1": "one eins un une uno", "2": "two zwei deux dos", "3": "three drei trois tres", "4": "four vier quatre cuatro",
+    "5": "five fünf fuenf cinq cinco", "6": "six sechs seis", "7": "seven sieben sept siete", "8": "eight acht huit ocho", "9": "nine neun neuf nueve",
+}
+PLUS = "plus|más|mas"
+AT = "at|ät|arroba|arobase"
+DOT = "dot|punkt|point|punto"
+DIGITS = {w: d for d, words in NAMES.items() for w in words.split()}
+
+_NAMES = "|".join(sorted(DIGITS, key=len, reverse=True))
+#: White space within a disguise: on a line, or over the end of one.
+_S = r"(?:[ \t]+(?:\r?\n[ \t]*)?|\r?\n[ \t]*)"
 _ODD = re.compile("[­²³·¹ıɑ-ʯͰ-ԯ​-‍‐-–․⁠⁰-₟℀-↏∂−①-⓿。﻿！-～\U0001d400-\U0001d7ff]")
 _INVISIBLE = frozenset("­​‌‍⁠﻿")
 
@@ -122,8 +133,8 @@ class Rewritten:
         self.text, self.start, self.end = text, [], []
         self.changed = False
 
-    def rewrite(self, pattern: re.Pattern, become: Callable[[re.Match], str | None]) -> None:
-        """Replace each match by what `become` gives for it; None, or the same again, leaves it."""
+    def rewrite(self, pattern: re.Pattern, become: Callable[[re.Match], str | None], before: str = "") -> None:
+        """Replace each match, and characters of `before` ahead of it, by what `become` gives for it; None, or the same again, leaves it."""
         text, start, end, at = [], [], [], 0
         for m in pattern.finditer(self.text):
             new = become(m)
@@ -133,6 +144,8 @@ class Rewritten:
                 self.changed, n = True, len(self.text)
                 self.start, self.end = list(range(n)), list(range(1, n + 1))
             i, j = m.span()
+            while i > at and self.text[i - 1] in before:
+                i -= 1
             text += [self.text[at:i], new]
             start += self.start[at:i] + [self.start[i]] * len(new)
             end += self.end[at:i] + [self.end[j - 1]] * len(new)
@@ -144,25 +157,30 @@ class Rewritten:
         return self.start[span[0]], self.end[span[1] - 1]
 
 
-_RUN = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:(?:plus[ \t-]+)?(?:(?:{_NAMES})(?:[ \t]*[-,][ \t]*|[ \t]+|(?=[.)( ]|$)))+)(?=[^A-Za-z]|$)|(?<![A-Za-z])plus[ \t]+(?=[0-9])")
-_TOKEN = re.compile(rf"(?i){_NAMES}")
-_BRACKETED = re.compile(r"(?i)(?:(?<![ \t])[ \t]+)?[\[({<][ \t]*(at|dot|punkt|point|punto|arroba)[ \t]*[\])}>][ \t]*")
-_BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}?(?:[ \t]+dot[ \t]+[A-Za-z0-9_%+-]{1,64})*)[ \t]*(?:[ \t]at[ \t]|[ \t]arroba[ \t]|@)[ \t]*([A-Za-z0-9-]{1,63}(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]{1,63})*(?:[ \t]+dot[ \t]+|\.)[A-Za-z]{2,24})(?![A-Za-z0-9-])")
-_DOT = re.compile(r"(?i)[ \t]+dot[ \t]+")
-_QUAD_WORDS = re.compile(r"(?i)(?<![0-9.])[0-9]{1,3}(?:[ \t]*(?:\.|[ \t](?:dot|point)[ \t])[ \t]*[0-9]{1,3}){3}(?![0-9])")
+_NAME = rf"(?:{_NAMES})(?![^\W_])"
+_RUN = re.compile(rf"(?i)(?<![^\W_])(?:(?:(?:{PLUS})(?:-|{_S}))?{_NAME}(?:(?:{_S}?[-,]{_S}?|{_S}){_NAME})*|(?:{PLUS}){_S}(?=[0-9]))")
+_PLUS = re.compile(f"(?i)(?:{PLUS})")
+_TOKEN = re.compile(rf"(?i)(?<![^\W_])(?:{_NAMES})(?![^\W_])")
+_BRACKETED = re.compile(rf"(?i)[\[({{<][ \t]*({AT}|{DOT})[ \t]*[\])}}>][ \t]*")
+_LABEL = "[A-Za-z0-9-]++"
+_BARE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++(?:{_S}(?:{DOT}){_S}[A-Za-z0-9_%+-]++)*+)(?:{_S}(?:{AT}){_S}|[ \t]*@[ \t]*)({_LABEL}(?:(?:{_S}(?:{DOT}){_S}|\.){_LABEL})++)")
+_DOT = re.compile(rf"(?i){_S}(?:{DOT}){_S}")
+_QUAD_WORDS = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:(?:[ \t]*\.[ \t]*|{_S}(?:{DOT}){_S})[0-9]{{1,3}}){{3}}(?![0-9])")
+_TOP = re.compile(r"[A-Za-z]{2,}")
 
 
 def _digits(m: re.Match) -> str | None:
     said = _TOKEN.findall(m.group())
-    plus = "+" if m.group().lower().startswith("plus") else ""
+    plus = "+" if _PLUS.match(m.group()) else ""
     if not said:
         return plus or None
-    tail = " " if m.group()[-1] in " \t" else ""
-    return plus + "".join(DIGITS[w.lower()] for w in said) + tail
+    return plus + "".join(DIGITS[w.lower()] for w in said)
 
 
 def _bare(m: re.Match) -> str | None:
-    return _DOT.sub(".", m.group(1)) + "@" + _DOT.sub(".", m.group(2)) if _DOT.search(m.group()) else None
+    host = _DOT.sub(".", m.group(2))
+    told = _DOT.search(m.group()) and _TOP.fullmatch(host.rpartition(".")[2])
+    return _DOT.sub(".", m.group(1)) + "@" + host if told else None
 
 
 def deobfuscate(text: str) -> Rewritten:
@@ -170,7 +188,7 @@ def deobfuscate(text: str) -> Rewritten:
     if not text.isascii():
         r.rewrite(_ODD, lambda m: None if (p := plain(m.group())) == m.group() else p)
     r.rewrite(_RUN, _digits)
-    r.rewrite(_BRACKETED, lambda m: "@" if m.group(1).lower() in ("at", "arroba") else ".")
+    r.rewrite(_BRACKETED, lambda m: "@" if m.group(1).lower() in AT.split("|") else ".", before=" \t")
     r.rewrite(_BARE, _bare)
     r.rewrite(_QUAD_WORDS, lambda m: ".".join(re.findall("[0-9]+", m.group())))
     return r

@@ -144,10 +144,39 @@ def test_fisher_yates_is_a_permutation_that_depends_on_the_seed(spark):
     assert all(sorted(k) == list(range(5)) for k in got) and len(got) > 60
 
 
-def test_write_shards(spark, docs, tmp_path, corpus):
+def test_copies_of_a_record_are_spread(spark, monkeypatch):
+    """Three copies each of 300 rows, and one row that a third of all rows repeat: neighbours are equal as often as chance has it."""
+    from pyspark.sql import functions as F
+
+    d = spark.range(900).select((F.col("id") % 300).alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 300).alias("text"))
+    d = d.unionByName(spark.range(450).select(F.lit(7000).cast("long").alias("doc_id"), F.lit("hot").alias("text")))
+    for piece in (4096, 100):
+        monkeypatch.setattr(sharding, "PIECE", piece)
+        rows = sorted((r["shard"], r["slot"], r["doc_id"]) for r in sharding.two_pass_shuffle(d, shards=3, bucket_rows=64).collect())
+        assert Counter(x[2] for x in rows) == Counter({**{i: 3 for i in range(300)}, 7000: 450})
+        for s in range(3):
+            assert [x[1] for x in rows if x[0] == s] == list(range(sum(x[0] == s for x in rows)))
+        assert sum(a[2] == b[2] < 7000 for a, b in zip(rows, rows[1:])) < 20
+        hot = [x[1] for x in rows if x[2] == 7000]
+        n = sum(x[0] == rows[[x[2] for x in rows].index(7000)][0] for x in rows)
+        assert len({x * 10 // n for x in hot}) == 10
+
+
+def test_shards_hold_whole_records_in_the_order_of_their_slots(spark, docs, tmp_path, corpus):
+    from pyspark.sql import functions as F
+
+    odd = docs.withColumns({"_n": F.lit(1), "_size": F.lit("x"), "_shard": F.lit(None).cast("int"), "slot": F.lit(2.0), "record": F.lit("r")})
+    rows = sharding.shuffle_records(odd, shards=3, bucket_rows=16).collect()
+    assert Counter(tuple(r["record"]) for r in rows) == Counter(map(tuple, odd.collect()))
+    for s in range(3):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    owner = {r["doc_id"]: r["shard"] for r in sharding.two_pass_shuffle(docs, shards=3).collect()}
+    assert all(r["shard"] == owner[r["doc_id"]] and r["text_crc32"] == zlib.crc32((r["record"]["text"] or "").encode()) for r in rows)
     path = str(tmp_path / "out")
-    sharding.write_shards(docs, path, shards=3)
-    assert spark.read.parquet(path).count() == len(corpus)
+    shard, slot = sharding.write_shards(odd, path, shards=3)
+    back = spark.read.parquet(path)
+    assert {shard, slot} & set(odd.columns) == set() and Counter(map(tuple, back.select(*odd.columns).collect())) == Counter(map(tuple, odd.collect()))
+    assert sharding.shuffle_records(docs.limit(0)).count() == 0
 
 
 # --- 4 ---
@@ -529,12 +558,38 @@ def test_disguises(text, kind, span):
 
 @pytest.mark.parametrize(("text", "kind", "span"), [
     ("call plus 44 20 7946 0958 now", "phone", "plus 44 20 7946 0958"), ("plus four, four, two, zero, seven, nine, four, six, zero, nine", "phone", "plus four, four, two, zero, seven, nine, four, six, zero, nine"),
+    ("ruf plus vier neun drei null eins zwei drei vier fünf sechs an", "phone", "plus vier neun drei null eins zwei drei vier fünf sechs"), ("le plus trois trois un deux zéro sept huit neuf six cinq.", "phone", "plus trois trois un deux zéro sept huit neuf six cinq"),
+    ("llama más tres cuatro nueve uno cinco dos siete ocho cero seis ya", "phone", "más tres cuatro nueve uno cinco dos siete ocho cero seis"), ("write john dot doe\nat example\ndot com now", "email", "john dot doe\nat example\ndot com"),
+    ("nom arobase exemple point fr ici", "email", "nom arobase exemple point fr"), ("juan (arroba) correo (punto) es", "email", "juan (arroba) correo (punto) es"), ("x" * 90 + " at " + "h" * 80 + " dot org", "email", "x" * 90 + " at " + "h" * 80 + " dot org"),
     ("ring +44 20 seven 946 0958.", "phone", "+44 20 seven 946 0958"), ("at 192 point 168 point 0 point 17", "ip", "192 point 168 point 0 point 17"), ("on 10 . 0 . 0 . 12 up", "ip", "10 . 0 . 0 . 12"),
 ])
 def test_slight_disguises(text, kind, span):
     assert any(i <= text.index(span) and j >= text.index(span) + len(span) for i, j in pii.find(text)[1][kind])
 
 
+SPOKEN = [dict(zip("0123456789", w.split())) for w in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve")]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_disguised_identifiers_are_found_where_they_stand(seed):
+    """Random identifiers, disguised in random ways in random prose: what is added is just them, with their source characters."""
+    rnd = random.Random(seed)
+    spoken, lines = rnd.choice(SPOKEN), rnd.random() < 0.3
+    gap = lambda: rnd.choice(["\n", " \n "]) if lines and rnd.random() < 0.2 else " "
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    say = lambda x: "".join((gap() if i else "") + spoken[c] for i, c in enumerate(x))
+    user, host, top = (rnd.choice(["ann", "j.doe", "x_1"]), rnd.choice(["mail", "my-site"]), rnd.choice(["org", "example"]))
+    made = {
+        "phone": rnd.choice([f"plus{gap()}{say(digits(9))}", f"+{digits(3)} {say(digits(2))} {digits(4)}"]),
+        "email": rnd.choice([f"{user}{gap()}at{gap()}{host}{gap()}dot{gap()}{top}", f"{user} [at] {host} (dot) {top}", f"{user} (arroba) {host} [punto] {top}", f"{user}@{host.replace('a', 'а').replace('e', 'е')}.{top}".replace("o", "о")]),
+        "ip": rnd.choice(["10 dot 20 dot 30 dot 40", "１０.20.30.4", f"{say('12')} dot {say('7')} dot {say('0')} dot {say('1')}"]),
+    }
+    kind = rnd.choice(sorted(made))
+    text = f"Ask them: {made[kind]} -- or the other, who was there with us."
+    base, more = pii.find(text)
+    assert not any(base.values()) and {k: [text[i:j] for i, j in v] for k, v in more.items() if v} == {kind: [made[kind]]}
+
+
 def test_pii(docs, none, corpus, spark):
     rows = pii.report(docs).collect()
     assert len(rows) == len(corpus) and all(r["n_email"] == 0 and r["spans"] == "" for r in rows)
