@@ -7,8 +7,10 @@ where a step whose bracket is below zero goes up its gradient instead. Features
 absent, so that the length of a text does not dilute them, and only those that several positives
 share, and by more than `telling` standard errors oftener than all text, are kept.
 
-The model is fitted on bounded, hash-ordered samples: at most `most_positive` labelled positives and
-`most_unlabelled` documents of the training folds. Every whole text is scored, in Arrow batches.
+The positives are a bounded, hash-ordered sample: at most `most_positive` labelled toxic documents, whose
+shared features, and nothing larger, are looked for elsewhere. The unlabelled text is all text of the training
+folds: it is counted whole, and dealt into parts of some `part_rows` documents, each of which a task fits with all
+positives; the model is the mean over the parts. Every whole text is scored, in Arrow batches.
 
 Defined cases: an empty or null text has no features and gets the score of the bias alone; null labels
 are no labels, null ids are training rows of the fold of empty text; labels of ids without a document
@@ -35,7 +37,7 @@ def features(text: str | None) -> set[bytes]:
     out = set()
     for w in set(ascii_lower(text).split()):
         w = w.strip(_STRIP)
-        if 3 <= len(w) <= 40:
+        if w:
             out.add(w)
             if len(w) > 5:
                 out.add(b"^" + w[:5])
@@ -76,50 +78,84 @@ def score_text(text: str | None, weights: dict[bytes, float], bias: float) -> fl
     return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = pa.array([sorted(features(t)) for t in b.column("text").to_pylist()], pa.list_(pa.binary()))
-        yield pa.RecordBatch.from_arrays([b.column("_o"), b.column("p"), found], ["_o", "p", "found"])
+        yield pa.RecordBatch.from_arrays([b.column("_o"), pa.array([sorted(features(t)) for t in b.column("text").to_pylist()], pa.list_(pa.binary()))], ["_o", "found"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 12_000, least: int = 4, telling: float = 4.0, most_features: int = 20_000, seed: int = 5) -> tuple[dict[bytes, float], float]:
+def _places(held):
+    """Which of the known features each text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = held.value
+        for b in batches:
+            found = [sorted(at[f] for f in features(t) if f in at) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("_o"), pa.array(found, pa.list_(pa.int32()))], ["_o", "at"])
+
+    return run
+
+
+def _packed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(rows)), [len(a) for a in rows]), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+
+
+def _fit_part(held):
+    """The weights (by feature), the bias (-1) and a one (-2) that a task finds for its part of the unlabelled text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, positive, prior = held.value
+        own = [kept[a][kept[a] >= 0] for b in batches for a in (np.array(x, np.int64) for x in b.column(0).to_pylist())]
+        if own:
+            dims = int(kept.max(initial=-1)) + 1
+            w, bias = minimise((len(positive), len(own)), _packed(positive), _packed(own), dims, prior)
+            on = np.flatnonzero(w)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([on, [-1, -2]]), pa.int64()), pa.array(np.concatenate([w[on], [bias, 1.0]]))], ["i", "x"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, part_rows: int = 12_000, least: int = 4, telling: float = 4.0, seed: int = 5) -> tuple[dict[bytes, float], float]:
     """The model from labels and text of the rows whose fold is not 0 of 5."""
-    lean(docs.sparkSession)
+    spark = docs.sparkSession
+    lean(spark)
     taught = lambda d: d.where(~in_fold(F.col("doc_id"), 5, 0))
     known = taught(labels).where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     total = known.agg(F.count("*").alias("n"), F.sum((F.col("_toxic") == 1).cast("int")).alias("p")).first()
     if not total["p"]:
         return {}, -np.inf
-    prior, n = total["p"] / total["n"], int(docs.count())
+    prior = total["p"] / total["n"]
     text = taught(docs).select("doc_id", "text").where("text is not null").withColumn("_o", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    ids = known.where("_toxic = 1").withColumn("_o", F.xxhash64(F.lit(seed), "doc_id")).orderBy("_o").limit(most_positive).select("doc_id")
-    positive = text.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("_o").limit(most_positive)  # ids: most_positive at most
-    near = min(1.0, (1.3 * most_unlabelled + 200) / max(1, n))  # a hashed share, so that only the sample is sorted
-    other = text.where(F.pmod("_o", F.lit(1 << 30)) < near * (1 << 30)).orderBy("_o").limit(most_unlabelled)
-    sample = positive.select("_o", "text", F.lit(True).alias("p")).union(other.select("_o", "text", F.lit(False)))
-    marked = cut(sample.repartition(16, "_o").mapInArrow(_marked, "_o long, p boolean, found array<binary>"), "toxic-sample")
-    size = {r["p"]: r["n"] for r in marked.groupBy("p").agg(F.count("*").alias("n")).collect()}
-    n_p, n_u = size.get(True, 0), size.get(False, 0)
-    if not n_p or not n_u:
+    # a hashed share of the toxic ids, of which some may have no document: their number is bounded too
+    share = min(1.0, (4 * most_positive + 200) / total["p"])
+    ids = known.where("_toxic = 1").where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id")
+    ids = F.broadcast(ids) if total["p"] * share <= 100_000 else ids
+    sample = text.join(ids, "doc_id", "left_semi").orderBy("_o").limit(most_positive)
+    own = cut(sample.select("_o", "text").mapInArrow(_own, "_o long, found array<binary>"), "toxic-sample")
+    n_p = own.count()
+    if not n_p:
         return {}, -np.inf
+    shared = own.select(F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("k")).where(F.col("k") >= least).orderBy("f").collect()
+    names, k_p = [bytes(r["f"]) for r in shared], np.array([r["k"] for r in shared], np.float64)
+    at = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+    marked = cut(text.select("_o", "text").mapInArrow(_places(at), "_o long, at array<int>"), "toxic-marks")
+    n_u = marked.count()
+    k_u = np.zeros(len(names))
+    for r in marked.select(F.explode("at").alias("i")).groupBy("i").agg(F.count("*").alias("k")).collect():
+        k_u[r["i"]] = r["k"]
     # by how many standard errors the positives' share with a feature differs from that of all text
-    seen = marked.select("p", F.explode("found").alias("f")).groupBy("f").agg(F.count_if("p").alias("k_p"), F.count_if(~F.col("p")).alias("k_u")).where(F.col("k_p") >= least)
-    q = (F.col("k_p") + F.col("k_u") + 1) / F.lit(n_p + n_u + 2)
-    off = F.abs(F.col("k_p") / n_p - F.col("k_u") / n_u) / F.sqrt(q * (1 - q) * (1 / n_p + 1 / n_u))
-    kept = [bytes(r["f"]) for r in seen.select("f", off.alias("off")).where(F.col("off") >= telling).orderBy(F.desc("off"), "f").limit(most_features).collect()]
-    at = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(kept)})
-
-    def places(found: pa.Array) -> pa.Array:
-        return pa.array([[at.value[f] for f in row if f in at.value] for row in found.to_pylist()], pa.list_(pa.int32()))
-
-    rows = marked.select("p", F.arrow_udf(places, "array<int>")("found").alias("at"), "_o").orderBy("_o", "p").collect()
-
-    def packed(p: bool) -> tuple[np.ndarray, np.ndarray]:
-        own = [r["at"] for r in rows if r["p"] == p]
-        return np.repeat(np.arange(len(own)), [len(a) for a in own]), np.array([f for a in own for f in a], np.int64)
-
-    w, b = minimise((n_p, n_u), packed(True), packed(False), len(kept), prior)
-    return {f: float(x) for f, x in zip(kept, w) if x}, b
+    q = (k_p + k_u + 1) / (n_p + n_u + 2)
+    off = np.abs(k_p / n_p - k_u / n_u) / np.sqrt(q * (1 - q) * (1 / n_p + 1 / n_u))
+    kept = np.full(len(names) + 1, -1)
+    on = np.flatnonzero(off >= telling)
+    kept[on] = np.arange(len(on))
+    positive = [kept[[at.value[f] for f in map(bytes, r["found"]) if f in at.value]] for r in own.orderBy("_o").select("found").collect()]
+    held = spark.sparkContext.broadcast((kept, [p[p >= 0] for p in positive], prior))
+    parts = max(1, n_u // part_rows)
+    dealt = marked.repartitionById(parts, F.pmod(F.xxhash64(F.lit(seed + 1), "_o"), F.lit(parts)).cast("int")).sortWithinPartitions("_o")
+    found = {r["i"]: r["x"] for r in dealt.select("at").mapInArrow(_fit_part(held), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()}
+    done = found.pop(-2)
+    bias = found.pop(-1) / done
+    return {names[on[i]]: x / done for i, x in sorted(found.items())}, bias
 
 
 def scorer(docs: DataFrame, model: tuple[dict[bytes, float], float]):
