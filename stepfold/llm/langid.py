@@ -8,7 +8,7 @@ weights have not seen, then calibrates the probabilities.
 
 Inverse document frequencies count all texts of the training folds, labelled or not. The classifier is
 fitted on a bounded, hash-ordered sample of their labelled texts: `most`, shared out among the languages
-by their own counts, but at least `least` of each language (or all that it has). Every whole text is predicted, in Arrow batches.
+by their own counts, but at least `least` of each language (or all that it has). Only their counted n-grams reach the driver. Every whole text is predicted, in Arrow batches.
 
 Defined cases: a null text, or one without a letter, is `und` with score 1; without any labelled text
 all are `und` with score 0; null ids belong to the fold of empty text; ties go to the first language by
@@ -100,19 +100,26 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_class: int,
     return w[:-1], w[-1]
 
 
-def train(texts: list[str], langs: list[str], df: np.ndarray, n_texts: int) -> Model:
-    """The model of labelled texts; df: how many of n_texts texts have an n-gram, by place."""
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a text's n-grams, and the share of each."""
+    g = ngrams(text)
+    at, n = np.unique(g, return_counts=True)
+    return at, n / len(g)
+
+
+def _counted(texts: pa.Array) -> pa.Array:
+    """As bytes, each place with its share; null for texts without a letter."""
+    return pa.array([np.stack(counted(t), axis=1).tobytes() if has_letter(t) else None for t in texts.to_pylist()], pa.binary())
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], df: np.ndarray, n_texts: int) -> Model:
+    """The model of labelled texts, whose n-grams are counted; df: how many of n_texts texts have an n-gram, by place."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((DIMS, 0), np.float32), np.zeros(0), 1.0)
     y = np.array([names.index(x) for x in langs])
-    counted = []
-    for t in texts:
-        g = ngrams(t)
-        at, n = np.unique(g, return_counts=True)
-        counted.append((at, n / len(g)))
     idf = np.log((1 + n_texts) / (1 + df)) + 1
-    rows = [(at, GAIN * tf * idf[at]) for at, tf in counted]
+    rows = [(at, GAIN * tf * idf[at]) for at, tf in rows]
     fitted = len(rows) - len(rows) // 5
     w, b = ftrl(rows[:fitted], y[:fitted], len(names))
     t = 1.0
@@ -160,7 +167,7 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample(known: DataFrame, most: int, least: int) -> list[Row]:
-    """lang, text of `most` rows, shared out by the languages' counts, but `least` of each at least."""
+    """lang and the counted n-grams of `most` rows, shared out by the languages' counts, but `least` of each at least."""
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return []
@@ -171,21 +178,22 @@ def sample(known: DataFrame, most: int, least: int) -> list[Row]:
     by_lang = F.broadcast(known.sparkSession.createDataFrame(rows, "lang string, _quota long, _below long"))
     near = known.join(by_lang, "lang").where(F.pmod("_o", F.lit(1 << 30)) < F.col("_below"))
     ranked = near.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy("_o")))
-    return ranked.where(F.col("_rank") <= F.col("_quota")).orderBy("_o", "lang").collect()
+    return ranked.where(F.col("_rank") <= F.col("_quota")).select("lang", "_o", F.arrow_udf(_counted, "binary")("text").alias("grams")).orderBy("_o", "lang").collect()
 
 
 def fit(docs: DataFrame, most: int = 2500, seed: int = 7, least: int = 50) -> Model:
     """The model from text and lang of the rows whose fold is not 1 of 3."""
+    lean(docs.sparkSession)
     own = docs.where(~in_fold(F.col("doc_id"), 3, 1) & F.col("text").isNotNull())
     known = own.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("_o"))
-    got = [r for r in sample(known, most, least) if has_letter(r["text"])]
+    got = [r for r in sample(known, most, least) if r["grams"] is not None]
     if not got:
         return train([], [], np.zeros(DIMS), 0)
-    return train([r["text"] for r in got], [r["lang"] for r in got], *frequencies(own.select("text")))
+    rows = [np.frombuffer(r["grams"], np.float64).reshape(-1, 2) for r in got]
+    return train([(x[:, 0].astype(np.int64), x[:, 1]) for x in rows], [r["lang"] for r in got], *frequencies(own.select("text")))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    lean(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     @F.arrow_udf("lang_pred string, score double")
