@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lean(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand whole texts to Python in small batches: with long ones among them, the default's 10,000 rows are too many."""
+def lean(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Hand whole texts to Python in small batches, of so many rows and bytes at most: with long ones among them, the
+    defaults are too many. Plans run later than they are made, so the settings stay with the session."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def whole(docs: DataFrame) -> Column:
@@ -35,12 +38,14 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; only where none is set (tests), a local one."""
+    """The cluster's shared checkpoint folder; only where none is set and all runs on this machine (tests), a local one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             return held
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="stepfold-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -54,14 +59,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """Like `cut`, in as many buckets by `key` as shuffles have partitions, so that joins on it don't shuffle `df` again."""
+def bucketed(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
+    """Like `cut`, in n buckets by `keys` (as many as shuffles have partitions), so that joins and groups by them don't shuffle it again.
+
+    With n, rows are dealt to the buckets first, so that each is one file; without, every task writes what it has of each.
+    """
     spark = df.sparkSession
     name = f"stepfold_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.bucketBy(n, key).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    dealt = df.repartition(n, *keys) if n else df
+    dealt.write.bucketBy(n or max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and what was read of the catalog with them
+    return out
 
 
 def ascii_lower(text: str | None) -> bytes:

@@ -13,7 +13,7 @@ alignments cover at least `coverage` of the item's windows.
 Benchmark windows of which over MOST_SLOTS tokens are placeholders say little and aren't used, unless
 the item has no others. Texts with fewer tokens than WIDTH are one window; where the benchmark has such
 items, documents have windows of their lengths too, so that they are found inside longer texts. Up to BROADCAST_WINDOWS
-benchmark windows (counted first; some 40 bytes each) are broadcast, and documents' windows are never
+benchmark windows of BROADCAST_BYTES (both counted first) are broadcast, and documents' windows are never
 shuffled; beyond that, both sides are shuffled by hash.
 
 Defined cases: null and empty texts have no window and leak nothing; so do items without a token, even
@@ -33,6 +33,7 @@ WIDTH = 5
 MOST_SLOTS = 2
 COVERAGE = 0.5
 BROADCAST_WINDOWS = 1_000_000
+BROADCAST_BYTES = 128 << 20
 #: Units of measure, currencies and times that may follow a number.
 UNITS = (
     "mm cm m km inch inches in ft feet foot yard yards mile miles mi mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons "
@@ -90,7 +91,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, text_hash, item_id, n_windows, n_matched, n_slots, n_changed, kind of each leak."""
     items = cut(item_windows(benchmark), "item-windows")
-    small = (lambda d: F.broadcast(d)) if items.count() <= BROADCAST_WINDOWS else (lambda d: d)
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.array_join("i_v", "")) + 40), F.lit(0)).alias("b")).first()
+    small = (lambda d: F.broadcast(d)) if size["n"] <= BROADCAST_WINDOWS and size["b"] <= BROADCAST_BYTES else (lambda d: d)
     widths = sorted({WIDTH} | {r["n_tokens"] for r in items.select("n_tokens").distinct().collect()})
     items = items.drop("n_tokens")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where("text is not null")

@@ -6,7 +6,8 @@ more copy as many permuted blocks as fit; the block at the boundary is cut in th
 blocks and at last by documents; of some TOP_UP documents beyond the cut, one more is taken whose size
 comes nearest to what is left. The exact block quotas of all sources are then split among output shards by a tree: each node gives its
 left half of the shards a multivariate-hypergeometric draw of its quotas. A shard's quotas are
-consecutive, hence disjoint, pieces of each source's permuted blocks, in a seeded local order.
+consecutive, hence disjoint, pieces of each source's permuted blocks, in a seeded local order; documents
+beyond a source's whole blocks are dealt to shards by a hash.
 
 Sizes and thresholds are aggregates; only one row a source comes to the driver. No document is
 joined to another: the thresholds of its source decide for each row alone.
@@ -140,7 +141,9 @@ def allot(docs: DataFrame, shards: int = 32, seed: int = 29) -> DataFrame:
     def shard(copy: Column) -> Column:
         odd = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("source"), copy), F.lit(BLOCKS // 2)) * 2 + 1
         rank = F.when(copy < F.col("_whole"), F.pmod(F.col("_block") * odd + copy, F.lit(BLOCKS))).otherwise(F.col("_block"))
-        return F.least(F.size(F.filter("_ends", lambda e: e <= copy * BLOCKS + rank)), F.lit(shards - 1))
+        at = F.size(F.filter("_ends", lambda e: e <= copy * BLOCKS + rank))
+        # what lies beyond the whole blocks of all quotas is dealt out by a hash
+        return F.when(at < shards, at).otherwise(F.pmod(F.xxhash64(F.lit(seed + 5), "_order"), F.lit(shards)).cast("int"))
 
     shards_of = F.when(F.col("_copies") > 0, F.transform(F.sequence(F.lit(0), F.col("_copies") - 1), shard)).otherwise(F.array().cast("array<int>"))
     return joined.withColumn("_shards", shards_of).drop("_src", "_whole", "_cut1", "_cut2", "_cut3", "_extra", "_ends", "_block", "_fine", "_h")
@@ -152,6 +155,12 @@ def mix(docs: DataFrame, shards: int = 32, seed: int = 29, place: str = "mix_pla
     return rows.select("r.*", F.struct("shard", F.xxhash64(F.lit(seed + 3), "_order", "copy").alias("order")).alias(place))
 
 
+def in_places(mixed: DataFrame, place: str = "mix_place", slices: int = 1024) -> DataFrame:
+    """The rows of `mix` without their place, but dealt out by it and in its local order, as they are then written."""
+    spot = F.col(place)
+    return mixed.repartition(spot["shard"], F.pmod(spot["order"], F.lit(slices))).sortWithinPartitions(place).drop(place)
+
+
 def report(docs: DataFrame, shards: int = 32, seed: int = 29) -> DataFrame:
     """What the mix takes of each document."""
     a = allot(docs.select("doc_id", "source", "text"), shards, seed)

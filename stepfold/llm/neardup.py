@@ -33,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from stepfold.llm.common import ascii_lower, cut, lean, mix64, whole, word_hashes
 from stepfold.llm.graph import components
@@ -317,10 +316,17 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     """
     found = classes(docs, n, num, den)
     group = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_group"))
+    gone = group.where("_id <> _group").select("_id")
     rows = docs.select(whole(docs), "doc_id", F.xxhash64("text").alias("text_hash"))
-    kept = rows.join(group, rows["doc_id"] == group["_id"], "left").where("_group is null or _group = doc_id")
-    nth = F.row_number().over(W.partitionBy("doc_id", "text_hash").orderBy(F.lit(0)))
-    return kept.withColumn("nth", nth).where("nth = 1").select("r.*")
+    left = rows.join(gone, rows["doc_id"] == gone["_id"], "left_anti")
+    # only rows that stand more than once are dealt out and numbered
+    twice = cut(rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("k")).where("k > 1").drop("k"), "repeated")
+    if twice.isEmpty():
+        return left.select("r.*")
+    same = left["doc_id"].eqNullSafe(twice["_id"]) & (left["text_hash"].eqNullSafe(twice["_hash"]))
+    once = left.join(twice, same, "left_anti").select("r")
+    nth = left.join(twice, same, "left_semi").groupBy("doc_id", "text_hash").agg(F.first("r").alias("r"))
+    return once.unionByName(nth.select("r")).select("r.*")
 
 
 CLASSES_SQL = r"""
