@@ -1,8 +1,9 @@
 """The corpus pipeline: toxic documents go, then near-duplicates, then benchmark leaks; then sources are mixed and sharded.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return
-the columns of `documents`; the mix repeats and leaves out rows to meet its targets; the last gives each
-row its shard and slot. Nulls, empty tables, repeated rows and clashing columns: see the operators.
+the columns of `documents`; the mix repeats and leaves out rows to meet its targets, and deals them out by
+its tree; the last gives each row its shard and slot, with the whole row in `record`, in the order of slots.
+Nulls, empty tables, repeated rows and clashing columns: see the operators.
 """
 
 from __future__ import annotations
@@ -26,11 +27,14 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, place="_mix_place").drop("_mix_place")
+    place = "_mix_place"
+    while place in docs.columns:
+        place = f"_{place}"
+    return mixing.in_places(mixing.mix(docs, place=place), place)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.two_pass_shuffle(docs)
+    return sharding.shuffle_records(docs)
 
 
 STAGES = [
