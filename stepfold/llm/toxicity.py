@@ -95,6 +95,18 @@ def _places(held):
     return run
 
 
+def _own_places(held):
+    """The places, as bytes, of the known features among those that were found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = held.value
+        for b in batches:
+            rows = [np.array([at[f] for f in row if f in at], np.int32).tobytes() for row in b.column("found").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("_o"), pa.array(rows, pa.binary())], ["_o", "at"])
+
+    return run
+
+
 def _packed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), [len(a) for a in rows]), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
 
@@ -134,21 +146,21 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, part_rows
     n_p = own.count()
     if not n_p:
         return {}, -np.inf
-    shared = own.select(F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("k")).where(F.col("k") >= least).orderBy("f").collect()
-    names, k_p = [bytes(r["f"]) for r in shared], np.array([r["k"] for r in shared], np.float64)
+    shared = own.select(F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("k")).where(F.col("k") >= least).orderBy("f").toArrow()
+    names, k_p = shared["f"].to_pylist(), shared["k"].to_numpy().astype(np.float64)
     at = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
     marked = cut(text.select("_o", "text").mapInArrow(_places(at), "_o long, at array<int>"), "toxic-marks")
     n_u = marked.count()
     k_u = np.zeros(len(names))
-    for r in marked.select(F.explode("at").alias("i")).groupBy("i").agg(F.count("*").alias("k")).collect():
-        k_u[r["i"]] = r["k"]
+    seen = marked.select(F.explode("at").alias("i")).groupBy("i").agg(F.count("*").alias("k")).toArrow()
+    k_u[seen["i"].to_numpy()] = seen["k"].to_numpy()
     # by how many standard errors the positives' share with a feature differs from that of all text
     q = (k_p + k_u + 1) / (n_p + n_u + 2)
     off = np.abs(k_p / n_p - k_u / n_u) / np.sqrt(q * (1 - q) * (1 / n_p + 1 / n_u))
     kept = np.full(len(names) + 1, -1)
     on = np.flatnonzero(off >= telling)
     kept[on] = np.arange(len(on))
-    positive = [kept[[at.value[f] for f in map(bytes, r["found"]) if f in at.value]] for r in own.orderBy("_o").select("found").collect()]
+    positive = [kept[np.frombuffer(r["at"], np.int32)] for r in own.mapInArrow(_own_places(at), "_o long, at binary").orderBy("_o").collect()]
     held = spark.sparkContext.broadcast((kept, [p[p >= 0] for p in positive], prior))
     parts = max(1, n_u // part_rows)
     dealt = marked.repartitionById(parts, F.pmod(F.xxhash64(F.lit(seed + 1), "_o"), F.lit(parts)).cast("int")).sortWithinPartitions("_o")
