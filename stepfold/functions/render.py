@@ -8,6 +8,7 @@ come from `return_values`, else `payload`.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,8 +35,33 @@ def brief(value: object, depth: int = 2) -> str:
     return value[:60] + "..." if isinstance(value, str) and len(value) > 60 and depth > 0 else str(value)
 
 
-def _briefs(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else brief(json.loads(t)) for t in texts.to_pylist()], pa.string())
+def _side(text: str | None) -> dict:
+    try:
+        got = json.loads(text) if text else {}
+    except (ValueError, RecursionError):
+        return {}
+    return got if isinstance(got, dict) else {}
+
+
+def arguments(command: dict) -> str:
+    """The arguments inside the method: the required ones if there are any, else all."""
+    method = command.get("method")
+    args = method.get("args") if isinstance(method, dict) else None
+    if not isinstance(args, dict):
+        return brief(args) if args else ""
+    required = args.get("required")
+    if required and not isinstance(required, dict):
+        return ""
+    return brief(required or args) if args else ""
+
+
+def values(response: dict) -> str:
+    got = response.get("return_values", response.get("payload"))
+    return "" if got is None else brief(got)
+
+
+def _texts(of: Callable[[dict], str]) -> Callable[[pa.Array], pa.Array]:
+    return lambda texts: pa.array([of(_side(t)) for t in texts.to_pylist()], pa.string())
 
 
 def _at(json_text: str, path: str) -> Column:
@@ -44,15 +70,13 @@ def _at(json_text: str, path: str) -> Column:
 
 def prompts(steps: DataFrame) -> DataFrame:
     """case_id, prompt; steps: case_id, step_idx, input, output (JSON)."""
-    short = F.arrow_udf(_briefs, "string")
+    short = lambda of, side: F.arrow_udf(_texts(of), "string")(F.col(side))
     is_object = lambda x: F.startswith(F.ltrim(x), F.lit("{"))
-    args, required = _at("input", "$.method.args"), _at("input", "$.method.args.required")
-    shown = F.when(is_object(args) & is_object(required) & (required != "{}"), required).when(is_object(args) & required.isNotNull() & ~is_object(required), F.lit(None)).otherwise(args)
     d = steps.withColumns({
         "method": F.coalesce(_at("input", "$.method.name"), F.when(~is_object(_at("input", "$.method")), _at("input", "$.method")), F.lit("")),
         "target": F.coalesce(_at("input", "$.invoking_id.name"), F.when(~is_object(_at("input", "$.invoking_id")), _at("input", "$.invoking_id")), F.lit("")), "uid": F.coalesce(_at("input", "$.invoking_id.uid"), F.lit("")),
         "status": F.coalesce(_at("output", "$.status_codes.Name"), _at("output", "$.status_codes.name"), _at("output", "$.status_codes"), _at("output", "$.status.Name"), _at("output", "$.status.name"), _at("output", "$.status"), F.lit("")),
-        "args_text": truncated(F.coalesce(short(shown), F.lit("")), 200), "values_text": truncated(F.coalesce(short(F.coalesce(_at("output", "$.return_values"), _at("output", "$.payload"))), F.lit("")), 150),
+        "args_text": truncated(short(arguments, "input"), 200), "values_text": truncated(short(values, "output"), 150),
         "sp": F.coalesce(_at("input", "$.method.args.required.SPID"), F.lit("")), "write": F.coalesce(_at("input", "$.method.args.required.Write"), F.lit("")),
         "is_final": F.lead("step_idx").over(by_step()).isNull(),
     })
@@ -77,6 +101,18 @@ def prompts(steps: DataFrame) -> DataFrame:
     return g.select("case_id", F.concat(F.lit(HEAD + "\n"), state, F.lit("\n\n"), text, F.lit("\n\n" + ASK)).alias("prompt"))
 
 
+#: Ways to write a prompt, by name; all take steps and give case_id and prompt.
+FORMATS: dict[str, Callable[[DataFrame], DataFrame]] = {"rich": prompts}
+
+
+def prompts_as(steps: DataFrame, name: str = "rich", most: int = 0) -> DataFrame:
+    """The prompts in a format of FORMATS; with `most`, of longer ones only the last characters, where the final step and the question stand."""
+    if name not in FORMATS:
+        raise ValueError(f"no prompt format {name!r}; there are {', '.join(sorted(FORMATS))}")
+    out = FORMATS[name](steps)
+    return out.withColumn("prompt", F.right("prompt", F.lit(most))) if most else out
+
+
 def chat(prompts_and_labels: DataFrame) -> DataFrame:
     """case_id and the messages of a training example: system, user, assistant."""
     said = lambda role, x: F.struct(F.lit(role).alias("role"), x.alias("content"))

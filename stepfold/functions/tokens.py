@@ -24,6 +24,7 @@ from stepfold.functions.text import compact
 TOKEN = "struct<path:string,node:string,place:string,ord:int,name:string,key:string,kind:string,text:string,under_cell:boolean>"
 _FIELDS = ["path", "node", "place", "ord", "name", "key", "kind", "text", "under_cell"]
 _KINDS = {dict: "dict", list: "list", str: "string", bool: "bool", int: "int", float: "float", type(None): "null"}
+_WIDE = 9  # digits of an entry's number in its object or list
 _TYPES = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()]
 
 
@@ -48,7 +49,7 @@ def flatten(document: object) -> list[tuple]:
         inner = list(value.items()) if isinstance(value, dict) else [(None, x) for x in value] if isinstance(value, list) else []
         todo = []
         for i, (key, item) in enumerate(inner):
-            at = f"{i:06d}"
+            at = f"{i:0{_WIDE}d}"
             own = f"{path}/{at}"
             name = None if key is None else _name(key)
             entries[own] = (own, path, f"{hops}0{at}", name, None if key is None else _shown(key), _KINDS[type(item)], _shown(item), below)
@@ -60,7 +61,7 @@ def flatten(document: object) -> list[tuple]:
 def _parsed(text: str | None) -> object:
     try:
         return json.loads(text) if text else None
-    except ValueError:
+    except (ValueError, RecursionError):  # deeper than the parser goes: as if it were no JSON
         return None
 
 
@@ -96,7 +97,7 @@ def strings(doc: Column) -> Column:
     """All keys and string values: an object's keys, then what its values hold, in order."""
     keys = F.transform(F.filter(doc, lambda t: t["name"].isNotNull()), lambda t: F.struct(t["place"].alias("place"), t["key"].alias("s")))
     # a value is visited by a hop into it, after all keys of its object
-    visited = lambda t: F.concat(F.left(t["place"], F.length(t["place"]) - 7), F.lit("1"), F.right(t["place"], F.lit(6)))
+    visited = lambda t: F.concat(F.left(t["place"], F.length(t["place"]) - (_WIDE + 1)), F.lit("1"), F.right(t["place"], F.lit(_WIDE)))
     leaves = F.transform(F.filter(doc, lambda t: t["kind"] == "string"), lambda t: F.struct(visited(t).alias("place"), t["text"].alias("s")))
     return F.transform(F.array_sort(F.concat(keys, leaves)), lambda x: x["s"])
 

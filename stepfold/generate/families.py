@@ -150,6 +150,16 @@ def families(spark: SparkSession) -> DataFrame:
     return out.withColumn("case_id", F.concat_ws("/", "family", "description")).repartition("case_id")
 
 
+def public_cases(cases: DataFrame) -> DataFrame:
+    """The observed cases among training cases: those whose source says so."""
+    return cases.where(F.startswith("source", F.lit("public:")))
+
+
+def with_public(splits: DataFrame, old: DataFrame) -> DataFrame:
+    """case_id, label, split: of generated cases as they were split, and the observed ones among `old` (case_id, source, label) for training only."""
+    return splits.select("case_id", "label", "split").unionByName(public_cases(old).select("case_id", "label", F.lit("train").alias("split")))
+
+
 def split(cases: DataFrame, key: str = "case_id", seed: int = 42, shares: tuple[float, float] = (0.6, 0.8)) -> DataFrame:
     """train, val and test by exact shares, in the order of a seeded hash: the same in every run."""
     order = F.xxhash64(F.lit(seed), key)

@@ -6,7 +6,8 @@ so, a command patched, its own or that of an earlier step. All conditions are co
 together are one pass over the steps, one window per as-of partner, and one explode; only patched
 commands go through Python, in Arrow batches.
 
-Out come name (source:relation:step), expected, source, relation, reason, and the steps as JSON.
+Out come name (source:relation:step), expected, source, relation, reason, the steps as JSON, and a key that
+no two new cases share (the name, and the patched step where that is an earlier one).
 """
 
 from __future__ import annotations
@@ -212,15 +213,23 @@ def mutate(steps: DataFrame) -> DataFrame:
         F.when(s["step_idx"] == F.col("end"), F.col("response")).otherwise(s["output"]).alias("output"),
     ))
     name = F.concat_ws(":", F.col("case_id").cast("string"), "relation", F.col("end").cast("string"))
-    return j.select(name.alias("name"), "expected", F.col("case_id").alias("source"), "relation", "reason", new.alias("steps"))
+    # two patched steps may lead to one name: the key tells them apart
+    key = F.when(F.col("at") == F.col("end"), name).otherwise(F.concat(name, F.lit("#"), F.col("at").cast("string")))
+    return j.select(name.alias("name"), "expected", F.col("case_id").alias("source"), "relation", "reason", new.alias("steps"), key.alias("key"))
 
 
 def as_steps(mutated: DataFrame) -> DataFrame:
-    """The new cases as steps, for `verify`: case_id is the name."""
-    return mutated.select(F.col("name").alias("case_id"), F.posexplode("steps").alias("step_idx", "s")).select("case_id", "step_idx", "s.input", "s.output")
+    """The new cases as steps, for `verify`: case_id is the key."""
+    return mutated.select(F.col("key").alias("case_id"), F.posexplode("steps").alias("step_idx", "s")).select("case_id", "step_idx", "s.input", "s.output")
+
+
+def as_cases(mutated: DataFrame, most: int = 0) -> DataFrame:
+    """The new cases as rows of a dataset: case_id (synthetic:name), label, synthetic_reason, steps; the first `most` by name, or all."""
+    out = mutated.select(F.concat(F.lit("synthetic:"), "name").alias("case_id"), F.col("expected").alias("label"), F.col("reason").alias("synthetic_reason"), "steps")
+    return out.orderBy("case_id").limit(most) if most else out
 
 
 def pass_rate(mutated: DataFrame, verdicts: DataFrame) -> DataFrame:
     """relation, n, n_correct, rate: how often the verdict is the expected one."""
-    both = mutated.join(verdicts.select(F.col("case_id").alias("name"), "prediction"), "name")
+    both = mutated.join(verdicts.select(F.col("case_id").alias("key"), "prediction"), "key")
     return both.groupBy("relation").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("expected")).alias("n_correct"), F.round(F.avg((F.col("prediction") == F.col("expected")).cast("double")), 6).alias("rate"))

@@ -124,8 +124,8 @@ def rules(off: frozenset[str] = frozenset(), switch: Column | None = None) -> li
     return out
 
 
-def judge(states: DataFrame, with_trace: bool = False, off: Iterable[str] = (), switch: Column | None = None) -> DataFrame:
-    """case_id, prediction, final_rule_id, n_steps and, if asked, the trace, of `fold.state`'s rows."""
+def judge(states: DataFrame, with_trace: bool = False, off: Iterable[str] = (), switch: Column | None = None, keep: Iterable[str] = ()) -> DataFrame:
+    """case_id, prediction, final_rule_id, n_steps and, if asked, the trace, of `fold.state`'s rows; `keep`: further columns of these."""
     held = rules(frozenset(off), switch)
     decided, broken = F.lit(None), F.lit(None)
     for r in reversed(held):
@@ -152,8 +152,8 @@ def judge(states: DataFrame, with_trace: bool = False, off: Iterable[str] = (),
                 shown = shown | (F.col("final_rule_id") == follower)
             before.append(F.when(shown, F.array(event)).otherwise(none))
         ends = F.concat(*before)
-        steps = F.flatten(F.transform("prefix", lambda e: effects(e, F.col("sessions.sids"), F.col("prefix"))))
+        steps = F.flatten(F.transform("prefix", lambda e: effects(e, F.col("sessions.sids"), F.col("first_payload"))))
         queries = F.create_map(*[F.lit(x) for kv in SPEC_QUERIES.items() for x in kv])
         trace = F.transform(F.concat(steps, ends), lambda e: F.struct(e["step"].alias("step"), e["rule_id"].alias("rule_id"), e["state_reads"].alias("state_reads"), e["state_writes"].alias("state_writes"), F.array(queries[e["rule_id"]]).alias("spec_ref_candidates"), e["detail"].alias("detail")))
         out.append(trace.alias("trace"))
-    return d.select(*out)
+    return d.select(*out, *keep)

@@ -11,14 +11,27 @@ from stepfold.operators.metrics import relation_stats, variation
 # The categories, the rules that explain little, and the rules of three of the categories.
 CATEGORIES = ["parser", "object_identity", "precondition", "state_effect", "status_invariant", "payload_invariant", "spec_backed", "tested"]
 LOW_CONFIDENCE = ["DEFAULT_PASS", "PARSE_FINAL_COMMAND", "UNEXPECTED_ERROR_STATUS"]
-# The categories that do not apply to a method; all others do.
-NOT_APPLICABLE = {
-    "Properties": ["precondition", "state_effect"], "StartSession": [], "EndSession": ["object_identity"], "Get": ["state_effect"], "Set": [],
-    "Activate": [], "GenKey": [], "Read": ["object_identity", "precondition"], "Write": ["object_identity", "precondition"],
-}
-_PRECONDITION = ["PRECONDITION_EXPECTED_ERROR", "KNOWN_FIELD_INVALID_VALUE", "AUTHORITY_DISABLED_STARTSESSION", "STARTSESSION_FINAL"]
-_PAYLOAD = [f"{m}_PAYLOAD" for m in ("READ", "GET", "PROPERTIES", "SET", "ENDSESSION", "ACTIVATE", "GENKEY")] + ["STARTSESSION_FINAL", "WRITE_RESPONSE", "LOCKING_DATA_ACCESS"]
-_STATUS = [*_PRECONDITION, "UNEXPECTED_ERROR_STATUS", "KNOWN_FIELD_EXPECTED_SUCCESS", "ACTIVATE_TARGET", *[r for r in _PAYLOAD if r != "ACTIVATE_PAYLOAD"]]
+# The categories that apply to each method.
+APPLICABLE = {
+    "Properties": ["parser", "object_identity", "status_invariant", "payload_invariant", "spec_backed", "tested"],
+    "StartSession": ["parser", "object_identity", "precondition", "state_effect", "status_invariant", "payload_invariant", "spec_backed", "tested"],
+    "EndSession": ["parser", "precondition", "state_effect", "status_invariant", "payload_invariant", "spec_backed", "tested"],
+    "Get": ["parser", "object_identity", "precondition", "status_invariant", "payload_invariant", "spec_backed", "tested"],
+    "Set": ["parser", "object_identity", "precondition", "state_effect", "status_invariant", "payload_invariant", "spec_backed", "tested"],
+    "Activate": ["parser", "object_identity", "precondition", "state_effect", "status_invariant", "payload_invariant", "spec_backed", "tested"],
+    "GenKey": ["parser", "object_identity", "precondition", "state_effect", "status_invariant", "payload_invariant", "spec_backed", "tested"],
+    "Read": ["parser", "state_effect", "status_invariant", "payload_invariant", "spec_backed", "tested"],
+    "Write": ["parser", "state_effect", "status_invariant", "payload_invariant", "spec_backed", "tested"],
+}
+# The rules that show a precondition, a status or a payload to be checked.
+PRECONDITION_RULES = ["PRECONDITION_EXPECTED_ERROR", "KNOWN_FIELD_INVALID_VALUE", "AUTHORITY_DISABLED_STARTSESSION", "STARTSESSION_FINAL"]
+STATUS_RULES = [
+    "UNEXPECTED_ERROR_STATUS", "PRECONDITION_EXPECTED_ERROR", "KNOWN_FIELD_EXPECTED_SUCCESS", "KNOWN_FIELD_INVALID_VALUE", "AUTHORITY_DISABLED_STARTSESSION",
+    "PROPERTIES_PAYLOAD", "STARTSESSION_FINAL", "ACTIVATE_TARGET", "READ_PAYLOAD", "WRITE_RESPONSE", "LOCKING_DATA_ACCESS", "SET_PAYLOAD", "GET_PAYLOAD", "GENKEY_PAYLOAD", "ENDSESSION_PAYLOAD",
+]
+PAYLOAD_RULES = [
+    "READ_PAYLOAD", "GET_PAYLOAD", "PROPERTIES_PAYLOAD", "STARTSESSION_FINAL", "SET_PAYLOAD", "ENDSESSION_PAYLOAD", "ACTIVATE_PAYLOAD", "WRITE_RESPONSE", "LOCKING_DATA_ACCESS", "GENKEY_PAYLOAD",
+]
 
 
 def _any(items: Column, known: list[str]) -> Column:
@@ -28,8 +41,8 @@ def _any(items: Column, known: list[str]) -> Column:
 def categories(rules: Column, reads: Column, writes: Column, spec_hits: Column) -> Column:
     """The coverage categories of a trace's rules, reads and writes."""
     held = {
-        "parser": F.lit(True), "object_identity": F.exists(reads, lambda r: F.contains(r, F.lit("invoking"))), "precondition": _any(rules, _PRECONDITION),
-        "state_effect": F.size(writes) > 0, "status_invariant": _any(rules, _STATUS), "payload_invariant": _any(rules, _PAYLOAD), "spec_backed": spec_hits > 0, "tested": F.lit(True),
+        "parser": F.lit(True), "object_identity": F.exists(reads, lambda r: F.contains(r, F.lit("invoking"))), "precondition": _any(rules, PRECONDITION_RULES),
+        "state_effect": F.size(writes) > 0, "status_invariant": _any(rules, STATUS_RULES), "payload_invariant": _any(rules, PAYLOAD_RULES), "spec_backed": spec_hits > 0, "tested": F.lit(True),
     }
     return F.array_compact(F.array(*[F.when(held[c], c) for c in CATEGORIES]))
 
@@ -43,10 +56,10 @@ def trace_columns(verdicts: DataFrame) -> DataFrame:
 def matrix(cases: DataFrame) -> DataFrame:
     """method, one boolean a category, and the gaps: categories that apply but no case of the method covers."""
     found = cases.groupBy("method").agg(*[F.bool_or(F.array_contains("categories", c)).alias(c) for c in CATEGORIES])
-    missing = F.lit(None).cast("array<string>")
-    for m, out in NOT_APPLICABLE.items():
-        missing = F.when(F.lower("method") == m.lower(), F.array(*[F.lit(x) for x in out]).cast("array<string>")).otherwise(missing)
-    gaps = F.array_compact(F.array(*[F.when(~F.col(c) & ~F.array_contains(missing, c), c) for c in CATEGORIES]))
+    wanted = F.lit(None).cast("array<string>")
+    for m, own in APPLICABLE.items():
+        wanted = F.when(F.lower("method") == m.lower(), F.array(*[F.lit(x) for x in own])).otherwise(wanted)
+    gaps = F.array_compact(F.array(*[F.when(~F.col(c) & F.array_contains(wanted, c), c) for c in CATEGORIES]))
     return found.withColumn("gaps", F.coalesce(F.array_join(gaps, ","), F.lit("")))
 
 

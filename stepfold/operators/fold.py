@@ -1,7 +1,7 @@
 """The state of each case before its last step, in one exchange by case.
 
-A case's steps are aggregated once: its last step, and of the steps before it that succeeded, only what
-changes state. Order then decides: sessions are folded in step order; of cells and payloads, the last
+A case's steps are aggregated once: its last step, and of the steps, only those that state or a trace needs
+(errors, and methods that change state). Order then decides: sessions are folded in step order; of cells and payloads, the last
 write counts. All of it is JVM-side higher-order functions. A case is one protocol log, which one task
 holds; for logs without an end see `stepfold.streaming`, whose state is bounded by the distinct keys.
 """
@@ -23,7 +23,8 @@ def cases(steps: DataFrame) -> DataFrame:
         F.col("step_idx").alias("step"), "method", "status", "invoking", "invoking_uid", "session_in", "session_out", "challenge_malformed", "object_key", "address", "payload_in",
         F.when(is_("set") & done, F.col("cells_in")).alias("cells"), F.when(is_("set") & done & F.col("mentions_cpin"), F.col("secrets")).alias("secrets"),
     )
-    return steps.groupBy("case_id").agg(F.count("*").alias("n_steps"), F.max_by(F.struct(*others), "step_idx").alias("last"), F.array_sort(F.collect_list(event)).alias("events"))
+    needed = F.when(~done | is_("startsession", "endsession", "set", "activate", "write", "genkey"), event)
+    return steps.groupBy("case_id").agg(F.count("*").alias("n_steps"), F.max_by(F.struct(*others), "step_idx").alias("last"), F.array_sort(F.collect_list(needed)).alias("events"))
 
 
 def _sessions(prefix: Column) -> Column:
@@ -59,6 +60,7 @@ def state(steps: DataFrame) -> DataFrame:
     })
     first_payload = F.try_element_at(F.col("payload_writes"), F.lit(1))["step"]
     return d.withColumns({
+        "first_payload": first_payload,
         "active_sessions": F.col("sessions.active"), "authenticated": F.col("sessions.auth"),
         "generated_key": F.coalesce((F.col("last_genkey") > F.coalesce("last_write", F.lit(-1))) & (first_payload < F.col("last_genkey")), F.lit(False)),
         "expected_payload": F.coalesce(F.try_element_at(F.filter("payload_writes", lambda e: e["address"] == F.col("last.address")), F.lit(-1))["payload_in"], F.lit("")),
@@ -75,8 +77,8 @@ def truthy_cell(fields: Column, key: Column, column: str) -> Column:
     return F.coalesce(X.bool_truthy(cell["kind"], cell["text"]), F.lit(False))
 
 
-def effects(e: Column, sids: Column, prefix: Column) -> Column:
-    """The trace events of a step before the last."""
+def effects(e: Column, sids: Column, first_payload: Column) -> Column:
+    """The trace events of a step before the last; first_payload: the first step that wrote data."""
 
     def event(rule: str, reads: list[str], writes: list[str], detail: Column) -> Column:
         listed = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
@@ -85,7 +87,7 @@ def effects(e: Column, sids: Column, prefix: Column) -> Column:
     none = F.array().cast("array<struct<step:int,rule_id:string,state_reads:array<string>,state_writes:array<string>,detail:string>>")
     sid = F.try_element_at(F.filter(sids, lambda s: s["step"] == e["step"]), F.lit(1))["sid"]
     columns = F.array_join(F.array_sort(F.transform(e["cells"], lambda c: c["column"])), ",")
-    wrote = F.exists(prefix, lambda p: (p["method"] == "write") & (p["status"] == "success") & (p["payload_in"] != "") & (p["step"] < e["step"]))
+    wrote = F.coalesce(first_payload < e["step"], F.lit(False))
     secret = F.when(F.size(F.coalesce(e["secrets"], F.array().cast("array<string>"))) > 0, F.array(event("SET_CPIN_SECRET", ["C_PIN"], ["known_secrets"], F.concat(F.lit("C_PIN updated count="), F.size(F.array_distinct(e["secrets"])).cast("string"))))).otherwise(none)
     cells = F.when(F.size(e["cells"]) > 0, F.array(event("SET_OBJECT_FIELDS", ["Values", "invoking_uid"], ["object_fields"], F.concat(F.lit("columns="), columns)))).otherwise(none)
     return (

@@ -29,13 +29,8 @@ def _status(doc: Column, said: Column) -> Column:
     named = K.first(doc, "name", within=status)
     spoken = F.try_element_at(F.filter(F.transform(said, X.compact), lambda s: s.isin(_STATUSES)), F.lit(1))
     implied = F.when(K.first(doc, "command").isNotNull() | K.first(doc, "result").isNotNull(), "success")
-    return F.coalesce(F.when(status["kind"] == "dict", X.compact(named["text"])), F.when(status["kind"] == "string", X.compact(status["text"])), spoken, implied, F.lit(""))
-
-
-def _status_or_spoken(doc: Column, said: Column) -> Column:
-    """As `_status`; a status object without a name falls through to the spoken words."""
-    return F.when(K.first(doc, "name", within=K.first(doc, "status")).isNull() & (K.first(doc, "status")["kind"] == "dict"),
-                  F.coalesce(F.try_element_at(F.filter(F.transform(said, X.compact), lambda s: s.isin(_STATUSES)), F.lit(1)), F.lit(""))).otherwise(_status(doc, said))
+    held = F.when((status["kind"] == "dict") & named.isNotNull(), X.compact(named["text"])).when(status["kind"] == "string", X.compact(status["text"]))
+    return F.coalesce(held, spoken, implied, F.lit(""))
 
 
 def _payload(doc: Column) -> Column:
@@ -57,6 +52,16 @@ def _columns_of(kind: Column, known: dict[str, list[str]]) -> Column:
     return out
 
 
+def object_kind(invoking: Column, uid: Column) -> Column:
+    """The kind of an object, by its compacted name, else by how its compacted id begins; empty if neither tells."""
+    kind = F.lit("")
+    for k, start in reversed(KIND_UIDS.items()):
+        kind = F.when(F.startswith(uid, F.lit(start)), k).otherwise(kind)
+    for k in reversed(KIND_UIDS):
+        kind = F.when(F.contains(invoking, F.lit(k)), k).otherwise(kind)
+    return kind
+
+
 def normalise(steps: DataFrame) -> DataFrame:
     """case_id, step_idx and the typed columns of each step; `steps` has case_id, step_idx, input, output (JSON).
 
@@ -74,7 +79,7 @@ def normalise(steps: DataFrame) -> DataFrame:
     inv_uid = K.first(i, "uid", within=inv)
     d = d.withColumns({
         "method_text": _method(i, F.col("said")),
-        "status": _status_or_spoken(o, F.col("answered")),
+        "status": _status(o, F.col("answered")),
         "invoking_text": F.coalesce(F.when(inv["kind"] == "dict", F.coalesce(K.first(i, "name", within=inv)["text"], inv_uid["text"])), inv["text"], F.lit("")),
         "invoking_uid_text": F.coalesce(F.when(inv["kind"] == "dict", inv_uid["text"]), F.when(inv["kind"] == "string", inv["text"]), F.lit("")),
         "is_data_command": F.coalesce((command["kind"] == "string") & K.compact_of(command).isin("read", "write"), F.lit(False)),
@@ -92,12 +97,7 @@ def normalise(steps: DataFrame) -> DataFrame:
         "candidate": _candidate_secret(i, F.col("said")),
     })
     d = d.withColumns({"method": X.compact(F.col("method_text")), "invoking": X.compact(F.col("invoking_text")), "invoking_uid": X.compact(F.col("invoking_uid_text")), "challenge_malformed": X.challenge_malformed(F.col("challenge"))})
-    kind = F.lit("")
-    for k, uid in reversed(KIND_UIDS.items()):
-        kind = F.when(F.startswith("invoking_uid", F.lit(uid)), k).otherwise(kind)
-    for k in reversed(KIND_UIDS):
-        kind = F.when(F.contains("invoking", F.lit(k)), k).otherwise(kind)
-    d = d.withColumn("object_kind", kind)
+    d = d.withColumn("object_kind", object_kind(F.col("invoking"), F.col("invoking_uid")))
     cell_names = F.transform("cells_in", lambda c: c["column"])
     allowed = _columns_of(F.col("object_kind"), ACCESSIBLE_COLUMNS)
     wanted = F.when(F.col("method") == "get", F.col("requested")).when(F.col("method") == "set", cell_names).otherwise(F.array().cast("array<string>"))

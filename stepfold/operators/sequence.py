@@ -62,9 +62,15 @@ def transitions(df: DataFrame, value: str, case: str = "case_id") -> DataFrame:
 
 
 def running_share(df: DataFrame, good: Column, order: list[str], every: int) -> DataFrame:
-    """After each `every` rows, how many there were and the share of good ones. One global order is asked for, so
-    ranks come from counts by range partition, not from one task: rows are range-partitioned, counted, and numbered locally."""
-    spread = df.withColumn("_good", good.cast("long")).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    """After each `every` rows, how many there were and the share of good ones; the first column of the order is a number.
+
+    One global order is asked for, so ranks come from counts by ranges of that column, not from one task: rows
+    are numbered within their range. A range is told by the values alone, so both uses of it agree."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = df.agg(F.percentile_approx(order[0], [i / n for i in range(1, n)] or [1.0]).alias("b")).first()["b"] or []
+    ranges = F.array(*[F.lit(b) for b in sorted(set(bounds))])
+    part = F.size(F.filter(ranges, lambda b: b < F.col(order[0]))) if bounds else F.lit(0)
+    spread = df.withColumns({"_good": good.cast("long"), "_part": F.coalesce(part, F.lit(-1))})
     local = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     rows = spread.withColumns({"_n": F.count("*").over(local), "_g": F.sum("_good").over(local)})
     sums = spread.groupBy("_part").agg(F.count("*").alias("n"), F.sum("_good").alias("g"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,14 @@ def verify(steps: DataFrame, with_trace: bool = False, off: Iterable[str] = ())
     return cascade.judge(fold.state(normalise(steps)), with_trace, frozenset(off))
 
 
+def verify_case(spark: SparkSession, records: list | dict | str, with_trace: bool = False) -> dict:
+    """The verdict of one case, given as records or as their JSON text."""
+    from stepfold.sources.trajectories import steps_of
+
+    case = spark.createDataFrame([("case", records if isinstance(records, str) else json.dumps(records))], "case_id string, raw string")
+    return with_empty_cases(verify(steps_of(case), with_trace), case).drop("case_id").first().asDict(recursive=True)
+
+
 def with_empty_cases(verdicts: DataFrame, ids: DataFrame) -> DataFrame:
     """The verdicts of all ids: a case without steps fails, as one that cannot be parsed."""
     out = ids.select("case_id").distinct().join(verdicts, "case_id", "left")
@@ -70,20 +79,38 @@ def score(prompts: DataFrame, load: Callable[[], Callable[[list[str]], list[tupl
     return prompts.select("case_id", "prompt").mapInPandas(run, SCORES)
 
 
-def mutants(steps: DataFrame) -> DataFrame:
-    """mutant_id, case_id, prediction of every case under every mutant of the rules, in one job."""
+def mutants(steps: DataFrame, with_rules: bool = False) -> DataFrame:
+    """mutant_id, case_id, prediction of every case under every mutant of the rules, in one job; with_rules: and as the
+    rules are, as the mutant ''."""
     spark = steps.sparkSession
-    every = spark.createDataFrame(list(MUTANTS.items()), "mutant_id string, switch string")
+    every = spark.createDataFrame([*MUTANTS.items(), *([("", "")] if with_rules else [])], "mutant_id string, switch string")
     states = fold.state(normalise(steps)).crossJoin(F.broadcast(every))  # a fixed handful of rows
     judged = cascade.judge(states.withColumn("case_id", F.struct("mutant_id", "case_id")), switch=F.col("switch"))
     return judged.select("case_id.mutant_id", "case_id.case_id", "prediction")
 
 
+def mutation_runs(steps: DataFrame) -> DataFrame:
+    """mutant_id, case_id, prediction, was: each mutant's verdict beside that of the rules, from one pass over the cases."""
+    own = F.max(F.when(F.col("mutant_id") == "", F.col("prediction"))).alias("was")
+    g = mutants(steps, with_rules=True).groupBy("case_id").agg(own, F.collect_list(F.when(F.col("mutant_id") != "", F.struct("mutant_id", "prediction"))).alias("m"))
+    return g.select("case_id", "was", F.explode("m").alias("m")).select("m.mutant_id", "case_id", "m.prediction", "was")
+
+
+def kill_report(runs: DataFrame) -> DataFrame:
+    """mutant_id, n_changed, killed, is_baseline of `mutation_runs`."""
+    changed = F.count_if(~F.col("prediction").eqNullSafe(F.col("was")))
+    return runs.groupBy("mutant_id").agg(changed.alias("n_changed"), (changed > 0).alias("killed")).withColumn("is_baseline", F.col("mutant_id").isin(BASELINES))
+
+
 def mutation_report(original: DataFrame, mutated: DataFrame) -> DataFrame:
     """mutant_id, is_baseline, n_changed, killed: how many predictions each mutant changes."""
-    both = mutated.join(original.select("case_id", F.col("prediction").alias("_was")), "case_id")
-    changed = F.count_if(~F.col("prediction").eqNullSafe(F.col("_was")))
-    return both.groupBy("mutant_id").agg(changed.alias("n_changed"), (changed > 0).alias("killed")).withColumn("is_baseline", F.col("mutant_id").isin(BASELINES))
+    return kill_report(mutated.join(original.select("case_id", F.col("prediction").alias("was")), "case_id"))
+
+
+def score_deltas(runs: DataFrame, labels: DataFrame) -> DataFrame:
+    """mutant_id, n_correct, delta: how many labelled cases (case_id, label) each mutant judges right, and how many more than the rules do."""
+    right = lambda c: F.count_if(F.col(c) == F.col("label"))
+    return runs.join(labels, "case_id").groupBy("mutant_id").agg(right("prediction").alias("n_correct"), (right("prediction") - right("was")).alias("delta"))
 
 
 def mutation_score(report: DataFrame) -> DataFrame:

@@ -70,6 +70,24 @@ def _cell(x: Column) -> Column:
     return F.replace(F.coalesce(x.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
 
 
+def mismatches(summaries: DataFrame, most: int = 20) -> DataFrame:
+    """The first wrong verdicts by case: what was said and found, the last four rules, reads and writes, and the three best
+    specification texts, or else the last three queries."""
+    last = lambda c, n: F.slice(c, F.greatest(F.size(c) - (n - 1), F.lit(1)), F.lit(n))
+    hits = F.when(F.size("spec_hits") > 0, F.slice("spec_hits", 1, 3)).otherwise(last("spec_ref_candidates", 3))
+    bad = summaries.where(~F.col("correct")).orderBy("case_id").limit(most)
+    return bad.select(
+        "case_id", "label", "prediction", F.concat_ws(" / ", "final_method", "final_invoking").alias("final"), F.col("final_status").alias("status"),
+        F.array_join(last("rule_ids", 4), ", ").alias("rules"), F.array_join(last("state_reads", 4), ", ").alias("reads"), F.array_join(last("state_writes", 4), ", ").alias("writes"), F.array_join(hits, ", ").alias("spec_hits"),
+    )
+
+
+def brief(summaries: DataFrame) -> DataFrame:
+    """One line (value) for a terminal: the score, and how many verdicts are wrong."""
+    n, right = F.count("*"), F.count_if("correct")
+    return summaries.agg(n.alias("n"), right.alias("k")).select(F.format_string("score=%.2f correct=%d total=%d mismatches=%d", F.coalesce(F.try_divide(100.0 * F.col("k"), F.col("n")), F.lit(0.0)), "k", "n", F.col("n") - F.col("k")).alias("value"))
+
+
 def markdown(summaries: DataFrame, title: str) -> DataFrame:
     """The lines (order, value) of a Markdown report: score, accuracy by method, mismatches, all cases."""
 
@@ -81,12 +99,14 @@ def markdown(summaries: DataFrame, title: str) -> DataFrame:
     total = metrics.accuracy(summaries, ok=F.col("correct"))
     by = metrics.accuracy(summaries, "final_method", ok=F.col("correct"))
     row = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *[_cell(F.col(x)) for x in c]), F.lit(" |"))
-    bad = summaries.where(~F.col("correct"))
+    bad = mismatches(summaries)
+    columns = ["case_id", "label", "prediction", "final", "status", "rules", "reads", "writes", "spec_hits"]
     case = F.concat(F.lit("- "), "case_id", F.lit(": "), "prediction", F.lit(" (label "), "label", F.lit("); "), F.array_join("receptive_field", "; "), F.lit("; rules "), F.array_join("rule_ids", ", "))
     parts = [
         said(0, f"# {title}"), lines(1, total, None, F.concat(F.lit("Accuracy: "), _cell(F.col("accuracy")), F.lit(" % of "), _cell(F.col("n")))),
         said(2, "## By final method"), said(3, "| method | cases | correct | accuracy |"), said(4, "| --- | --- | --- | --- |"), lines(5, by, "final_method", row("final_method", "n", "n_correct", "accuracy")),
-        said(6, "## Mismatches"), lines(7, bad, "case_id", case), said(8, "## All cases"), lines(9, summaries, "case_id", case),
+        said(6, "## Mismatches"), said(7, "| " + " | ".join(columns) + " |"), said(8, "| " + " | ".join(["---"] * len(columns)) + " |"), lines(9, bad, "case_id", row(*columns)),
+        said(10, "## All cases"), lines(11, summaries, "case_id", case),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -7,8 +7,11 @@ column, as key order and repeated keys matter later.
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ def read_cases(spark: SparkSession, path: str, glob: str = "tc*.json", numeric:
 def _load(text: str | None) -> object:
     try:
         return json.loads(text) if text else None
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 
@@ -87,9 +90,20 @@ def cases_from_json(containers: DataFrame, column: str = "raw", nested: bool = F
     return d.groupBy("case_id").agg(F.max_by("raw", "position").alias("raw"), F.max("position").alias("position"))
 
 
+def _or_none(spark: SparkSession, schema: str, read: Callable[[], DataFrame]) -> DataFrame:
+    """What is read, or no rows where the path does not exist."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_labels(spark: SparkSession, path: str, keep_case: bool = False) -> DataFrame:
-    """filename, label from JSON lines; labels trimmed and, unless told otherwise, in lower case; blank lines don't count."""
-    d = spark.read.schema("filename string, label string").json(path).where("filename is not null")
+    """filename, label from JSON lines; labels trimmed and, unless told otherwise, in lower case; blank lines don't count, and a missing file has none."""
+    kind = "filename string, label string"
+    d = _or_none(spark, kind, lambda: spark.read.schema(kind).json(path)).where("filename is not null")
     label: Column = F.trim("label")
     return d.select("filename", (label if keep_case else F.lower(label)).alias("label"))
 
@@ -97,22 +111,28 @@ def read_labels(spark: SparkSession, path: str, keep_case: bool = False) -> Data
 def read_spec_texts(spark: SparkSession, path: str) -> DataFrame:
     """path (relative), text (lower case) of all .txt files below a folder."""
     d = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
-    name = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"), f"^{path.rstrip('/')}/", "")
-    return d.select(name.alias("path"), F.lower("value").alias("text"))
+    # file names come as URLs, of any file system; what follows the folder's first mention is the relative path
+    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    folder = F.lit(re.sub("^[a-z0-9]+:/+", "/", path).rstrip("/") + "/")
+    return d.select(F.substr(full, F.instr(full, folder) + F.length(folder)).alias("path"), F.lower("value").alias("text"))
 
 
 def read_spec_index(spark: SparkSession, path: str) -> DataFrame:
-    """Index records from JSON lines: section_title, methods, objects, fields, text_preview, and all of it as `haystack`."""
+    """Index records from JSON lines: section_title, methods, objects, fields, text_preview, and all of it as `haystack`; a missing file has none."""
     kind = "section_title string, methods array<string>, objects array<string>, fields array<string>, text_preview string"
     parts = ["section_title", F.array_join("methods", " "), F.array_join("objects", " "), F.array_join("fields", " "), "text_preview"]
-    return spark.read.schema(kind).json(path).withColumn("haystack", F.lower(F.concat_ws(" ", *parts)))
+    return _or_none(spark, kind, lambda: spark.read.schema(kind).json(path)).withColumn("haystack", F.lower(F.concat_ws(" ", *parts)))
 
 
 def read_case_array(spark: SparkSession, path: str) -> DataFrame:
     """Labelled cases from JSON arrays: case_id, raw, label, source, spec_rule, description."""
     kind = "array<struct<records:string,steps:string,label:string,expected:string,source:string,spec_rule:string,description:string>>"
-    d = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", kind)).alias("n", "c"))
-    return d.select(F.concat(F.lit("case_"), "n").alias("case_id"), F.coalesce("c.records", "c.steps").alias("raw"), F.lower(F.trim(F.coalesce("c.label", "c.expected"))).alias("label"), "c.source", "c.spec_rule", "c.description")
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    n = raw.select("file").distinct().count()
+    d = raw.select("file", F.lit(n).alias("files"), F.posexplode(F.from_json("value", kind)).alias("n", "c"))
+    file = F.regexp_extract(F.col("file"), r"([^/]+?)(\.json)?$", 1)
+    several = F.col("files") > 1  # numbers are those of a file: with several, its name tells them apart
+    return d.select(F.concat(F.lit("case_"), F.when(several, F.concat(file, F.lit("_"))).otherwise(""), "n").alias("case_id"), F.coalesce("c.records", "c.steps").alias("raw"), F.lower(F.trim(F.coalesce("c.label", "c.expected"))).alias("label"), "c.source", "c.spec_rule", "c.description")
 
 
 def labelled(cases: DataFrame, labels: DataFrame, default: str | None = None) -> DataFrame:

@@ -200,6 +200,10 @@ def test_files(spark, tmp_path, cases, steps):
     assert spark.read.json(str(tmp_path / "log.bak")).count() == spark.read.json(str(tmp_path / "out")).count() == 1
     lines = [r["value"] for r in reports.markdown(out, "Report").collect()]
     assert lines[0] == "# Report" and "| StartSession | 1 | 1 | 100.0 |" in lines
+    assert reports.mismatches(out).count() == 0 and reports.brief(out).first()["value"] == "score=100.00 correct=1 total=1 mismatches=0"
+    wrong = out.withColumns({"correct": F.lit(False), "rule_ids": F.array(*[F.lit(f"R{i}") for i in range(6)])})
+    assert reports.mismatches(wrong).first()["rules"] == "R2, R3, R4, R5"
+    assert any(r["value"].startswith("| tc2_x.json | pass | pass | StartSession / Session Manager UID | success | R2, R3") for r in reports.markdown(wrong, "x").collect())
     assert json.loads(reports.json_report(out.groupBy().count(), cases=out.select("case_id")).first()["value"])["cases"] == [{"case_id": "tc2_x.json"}]
 
 
@@ -211,6 +215,61 @@ def test_families_and_their_split(spark):
     assert f.select(F.explode("steps").alias("s")).where("try_parse_json(s.input) is null or try_parse_json(s.output) is null").count() == 0
 
 
+def test_strings_as_payloads_are_rendered(spark):
+    odd = [("s", {"output": {"status": "SUCCESS", "payload": "Pattern 8E"}, "input": {"method": {"name": "Read", "args": "all"}}}, "args=all", "payload=Pattern 8E"), ("n", {"output": {"return_values": 123, "status": "x"}, "input": {"method": {"name": "Get", "args": {"required": 3, "a": 1}}}}, "Get →", "payload=123"),
+           ("t", {"output": {"return_values": "true", "status": "x"}, "input": {"method": "Get"}}, "Get →", "payload=true"), ("b", {"output": {"return_values": [True, None], "status": "x"}, "input": {}}, "Step 0:", "payload=[True, None]")]
+    d = spark.createDataFrame([(k, 0, json.dumps(r["input"]), json.dumps(r["output"])) for k, r, _, _ in odd], "case_id string, step_idx int, input string, output string")
+    got = {r["case_id"]: r["prompt"] for r in render.prompts(d).collect()}
+    assert all(a in got[k] and b in got[k] for k, _, a, b in odd)
+    cut = {r["case_id"]: r["prompt"] for r in render.prompts_as(d, most=20).collect()}
+    assert cut == {k: v[-20:] for k, v in got.items()}
+    with pytest.raises(ValueError, match="rich"):
+        render.prompts_as(d, "other")
+
+
+def test_nameless_status_and_deep_json(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    rows = [("nameless", '{"command": "Read"}', '{"status": {}, "command": "Read", "args": {"result": "x"}}'), ("spoken", '{"method": "Get"}', '{"status": {"code": 1}, "x": "FAIL"}'), ("deep", '{"method": "Get"}', deep)]
+    d = spark.createDataFrame([(k, 0, i, o) for k, i, o in rows], "case_id string, step_idx int, input string, output string")
+    assert {r["case_id"]: r["status"] for r in normalise(d).collect()} == {"nameless": "success", "spoken": "fail", "deep": ""}
+    assert trajectories.steps_of(spark.createDataFrame([("d", deep)], "case_id string, raw string")).count() == 0
+    assert verdict.verify_case(spark, [{"input": {"method": "Get"}, "output": {}}])["prediction"] == "fail"
+    assert verdict.verify_case(spark, "no json", with_trace=True)["final_rule_id"] == "PARSE_FINAL_COMMAND"
+
+
+def test_new_cases_have_keys_of_their_own(spark):
+    authority = ("Authority_Admin1", "00 00 00 09 00 00 00 01")
+    case = [start(), setting([{"5": 1}], authority), setting([{"5": 0}], authority), start()]
+    d = trajectories.steps_of(spark.createDataFrame([("c", json.dumps(case))], "case_id string, raw string"))
+    m = mutations.mutate(d).where("relation = 'authority_disabled_start_success'").collect()
+    assert len(m) == 2 and len({r["name"] for r in m}) == 1 and len({r["key"] for r in m}) == 2
+    n = {r["case_id"]: r["count"] for r in mutations.as_steps(mutations.mutate(d).where("relation = 'authority_disabled_start_success'")).groupBy("case_id").count().collect()}
+    assert sorted(n.values()) == [4, 4]
+
+
+def test_missing_files_and_odd_folders(spark, tmp_path):
+    assert trajectories.read_labels(spark, str(tmp_path / "none.jsonl")).count() == 0
+    assert trajectories.read_spec_index(spark, str(tmp_path / "none.jsonl")).count() == 0
+    folder = tmp_path / "a (b)+c d.x" / "sub"
+    folder.mkdir(parents=True)
+    (folder / "x y.txt").write_text("Text")
+    got = trajectories.read_spec_texts(spark, str(folder.parent)).collect()
+    assert [(r["path"], r["text"]) for r in got] == [("sub/x y.txt", "text")]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.json").write_text('[{"records": [], "label": "Pass"}]')
+    assert {r["case_id"] for r in trajectories.read_case_array(spark, str(tmp_path / "*.json")).collect()} == {"case_a_0", "case_b_0"}
+    assert trajectories.read_case_array(spark, str(tmp_path / "a.json")).first()["case_id"] == "case_0"
+
+
+def test_ranks_follow_one_order_whatever_the_ranges(spark):
+    from stepfold.operators import sequence
+
+    d = spark.range(1000).select((F.col("id") * 7 % 1000).alias("o"), (F.col("id") % 3 == 0).alias("g")).repartition(5)
+    good = [r["g"] for r in d.orderBy("o").collect()]
+    got = {r["n_rows"]: r["accuracy"] for r in sequence.running_share(d, F.col("g"), ["o"], 90).collect()}
+    assert got == {n: round(sum(good[:n]) / n, 6) for n in range(90, 1001, 90)}
+
+
 def test_mutations(steps):
     m = mutations.mutate(steps).cache()
     rates = {r["relation"]: r["rate"] for r in mutations.pass_rate(m, verdict.verify(mutations.as_steps(m))).collect()}
@@ -239,8 +298,8 @@ def test_terms_of_all_items_are_found(spark, tmp_path):
         counts.add((i, len(own), -sum(n for n, _ in own)))
         top |= {(i, d, -n, k + 1) for k, (n, d) in enumerate(own[:5])}
     assert max(i for i, *_ in counts) > 10
-    assert {tuple(r) for r in QUERIES["term_hit_count_all"](spark, str(tmp_path)).collect()} == counts
-    assert {tuple(r) for r in QUERIES["topk_docs_per_query_all"](spark, str(tmp_path)).collect()} == top
+    assert {tuple(r) for r in QUERIES["term_hit_count"](spark, str(tmp_path)).collect()} == counts
+    assert {tuple(r) for r in QUERIES["topk_docs_per_query"](spark, str(tmp_path)).collect()} == top
 
 
 def test_coverage_tokens(steps):
