@@ -13,9 +13,10 @@ score; with the bytes of the text, it gives the bits per byte.
 All grows with the corpus: word and context counts cover every training document, the head, the hash
 bits and the context tables grow with the words counted (up to HEAD_MOST, DEPTH_MOST and SLOTS_MOST, which
 bound a worker's memory and leave no word out: beyond them, codes are longer and contexts share slots),
-and weights start from the mean of what tasks learn from one training document in `SHARE`, with each bit's
-own count left out. A word that stands once in the training texts counts as unknown where it stands, so the flag
-is learned. Up to BROADCAST_WORDS words outside the head (12 bytes each) are broadcast; with more, each
+and weights and map come from every bit of every training document, with each bit's own count left out: tasks
+tally how often a bit was one or zero where its inputs were of some kind (a range of each logit, and the gate), and
+the weights with the least cost over this tally, one logistic regression a gate, held near the usual weights because
+they go on learning in each text, are what all texts start from. A word that stands once in the training texts counts as unknown where it stands, so the flag is learned. Up to BROADCAST_WORDS words outside the head (12 bytes each) are broadcast; with more, each
 text's words are joined with the vocabulary by a shuffle.
 
 Defined cases: a null or empty text is the end alone; whole texts are scored, in bounded runs; without
@@ -34,7 +35,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepfold.llm.common import ascii_lower, cut, in_fold, lean, word_hashes
@@ -49,10 +50,14 @@ BLOCK = 8  # words of each piece whose bits are held at once
 RUN_WORDS = 1_000_000
 RUN_BYTES = 1 << 20
 CHUNK = 1 << 16
-SHARE, SHARE_DOCS = 64, 1500
 RATE = 0.015
 GATES = 12
 INPUTS = 5
+EDGES = (0.7 * np.sinh(np.linspace(-3, 3, 14))).astype(np.float32)  # of the ranges of a logit that the tally tells apart
+BINS = len(EDGES) + 1
+RIDGE = 0.1  # a bit
+LEVELS = (1, 4, 3)  # how many levels of each hashed context the tally tells apart: those that a gate does
+CELLS = (LEVELS[1] * BINS, LEVELS[2] * BINS, BINS, BINS + 1, 2)  # of the tally: kinds of inputs 2, 3, 1 and 0 (the last of these: sure), and the bit
 END = np.uint64(0)  # the hash of no bytes
 _C = [np.uint32(c) for c in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -149,6 +154,11 @@ class Vocabulary:
         return out
 
 
+def usual() -> np.ndarray:
+    """The weights that nothing is learned of yet."""
+    return np.tile(np.float32([0.2, 0.6, 0.2, 0.2, 0.0]), (GATES, 1))
+
+
 @dataclass
 class Model:
     """What scoring needs; but for `words`, bounded in size whatever the corpus."""
@@ -164,9 +174,9 @@ class Model:
     order0: np.ndarray  # logits by node: of the Huffman code, the flag, and the hash bits; infinite where one side is empty
     buckets: np.ndarray  # log of the sum of count + 0.5 of the words outside the head, by the first bits of their hash
     slot_bits: int
-    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.uint16))
+    kinds: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.uint8))  # of a slot without one zero or one, for the tally
     logit: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # its last two bits are the level
-    weights: np.ndarray = field(default_factory=lambda: np.tile(np.float32([0.2, 0.6, 0.2, 0.2, 0.0]), (GATES, 1)))
+    weights: np.ndarray = field(default_factory=usual)
     refine: np.ndarray = field(default_factory=lambda: np.zeros((GATES, 64), np.float32))
     loads: tuple[float, ...] = (0.0, 0.0, 0.0)  # mean counts of a slot, by context
 
@@ -252,10 +262,11 @@ def read(model: Model, texts: list[str | None], rare: list[bytes | None] | None
 
 @dataclass
 class Bits:
-    """The bits of some tokens, in order: how many each token has, and of each its value, order-0 logit and place in each table."""
+    """The bits of some tokens, in order: how many each token has, and of each its value, code node, order-0 logit and place in each table."""
 
     n: np.ndarray
     bit: np.ndarray
+    node: np.ndarray
     order0: np.ndarray
     slots: list[np.ndarray]
     sure: np.ndarray  # bits that have only one value
@@ -299,27 +310,21 @@ def bits_at(model: Model, run: Run, at: np.ndarray) -> Bits:
         s >>= np.uint32(32 - model.slot_bits)
         s += np.uint32(i << model.slot_bits)
         slots.append(s.view(np.int32))
-    return Bits(n, bit, order0, slots, sure)
+    return Bits(n, bit, node, order0, slots, sure)
 
 
 # --- mixing ------------------------------------------------------------------------------------
 
 
-def inputs(model: Model, b: Bits, leave_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The logits (INPUTS rows) and gates of bits; leave_out: without each bit's own count."""
+def inputs(model: Model, b: Bits) -> tuple[np.ndarray, np.ndarray]:
+    """The logits (INPUTS rows) and gates of bits."""
     x = np.empty((INPUTS, len(b.bit)), np.float32)
     x[0], x[4] = b.order0, 0.3
     seen = []
     for i, slot in enumerate(b.slots):
-        if leave_out:
-            n = model.table[slot].astype(np.float32)
-            n[np.arange(len(n)), b.bit] -= 1
-            z, level = logits(n, model.loads[i])
-        else:
-            z = model.logit[slot]
-            level = z.view(np.uint8)[::4] & np.uint8(3)
+        z = model.logit[slot]
         x[i + 1] = z
-        seen.append(level)
+        seen.append(z.view(np.uint8)[::4] & np.uint8(3))
     x[:, b.sure] = 0  # nothing is learned from them
     return x, seen[1] * np.uint8(3) + np.minimum(seen[2], np.uint8(2))
 
@@ -392,7 +397,7 @@ def pieces(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[by], size[by]
 
 
-def blocks(model: Model, run: Run, leave_out: bool = False) -> Iterator[tuple[np.ndarray, Bits, np.ndarray, np.ndarray]]:
+def blocks(model: Model, run: Run) -> Iterator[tuple[np.ndarray, Bits, np.ndarray, np.ndarray]]:
     """Token places, bits, gates and mixed logits of a run, BLOCK words of each piece at a time."""
     first, size = pieces(run.sizes)
     w = np.tile(model.weights.T, (1, len(first))).astype(np.float32)
@@ -400,7 +405,7 @@ def blocks(model: Model, run: Run, leave_out: bool = False) -> Iterator[tuple[np
         n = np.minimum(BLOCK, size[: np.searchsorted(-size, -low, "left")] - low)
         at = np.repeat(first[: len(n)] + low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         b = bits_at(model, run, at)
-        x, gate = inputs(model, b, leave_out)
+        x, gate = inputs(model, b)
         lanes = np.add.reduceat(b.n, np.cumsum(n) - n)
         yield at, b, gate, mix(w, x, gate, b.bit, lanes)
 
@@ -421,26 +426,86 @@ def costs(model: Model, run: Run) -> np.ndarray:
     return out
 
 
-def learn_weights(model: Model, run: Run, rate: float = 0.05, batch: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-    """Set the gates' weights from a run, read online in small batches; gives ones and totals by gate and bucket for the refinement."""
-    squares = np.full((GATES, INPUTS), 1e-3)
-    for low in range(0, len(run.hashes), batch):
-        b = bits_at(model, run, np.arange(low, min(low + batch, len(run.hashes))))
-        x, gate = inputs(model, b, leave_out=True)
-        for k in range(0, len(b.bit), batch):
-            g, xi = gate[k : k + batch], x[:, k : k + batch]
-            z = (model.weights.T[:, g] * xi).sum(axis=0)
-            error = 1 / (1 + np.exp(-z)) - b.bit[k : k + batch]
-            n = np.maximum(np.bincount(g, minlength=GATES), 1)
-            slope = np.stack([np.bincount(g, error * v, GATES) / n for v in xi], axis=1)
-            squares += slope * slope
-            model.weights = (model.weights - rate * slope / np.sqrt(squares)).astype(np.float32)
-    ones, all_ = np.zeros((GATES, 64)), np.zeros((GATES, 64))
-    for _, b, gate, z in blocks(model, run, leave_out=True):
-        at = gate * np.int64(64) + bucket(z)
-        ones += np.bincount(at, b.bit, GATES * 64).reshape(GATES, 64)
-        all_ += np.bincount(at, minlength=GATES * 64).reshape(GATES, 64)
-    return ones, all_
+def kind(z: np.ndarray, level: np.ndarray | int = 0) -> np.ndarray:
+    """The range that each logit falls in, by level."""
+    return (np.searchsorted(EDGES, z) + BINS * level).astype(np.uint8)
+
+
+def graded(model: Model, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set the loads and kinds by the counts of all slots; gives their logits, and each context's mean logit by kind."""
+    by_context = np.split(table, 3)
+    model.loads = tuple(float(t.sum()) / len(t) for t in by_context)
+    # part by part, so that the driver holds few copies of the table
+    model.kinds, logit = np.empty(table.shape, np.uint8), np.empty(len(table), np.float32)
+    middle, uses = np.zeros((3, max(LEVELS) * BINS)), np.full((3, max(LEVELS) * BINS), 1e-9)
+    at = 0
+    for i, (t, load) in enumerate(zip(by_context, model.loads)):
+        for part in np.array_split(t, 16):
+            end = at + len(part)
+            logit[at:end] = with_level(*logits(part.astype(np.float32), load))
+            for bit in (0, 1):
+                n = part.astype(np.float32)
+                n[:, bit] = np.maximum(n[:, bit] - 1, 0)
+                z, level = logits(n, load)
+                k = model.kinds[at:end, bit] = kind(z, np.minimum(level, LEVELS[i] - 1))
+                middle[i] += np.bincount(k, part[:, bit] * z.astype(np.float64), len(middle[i]))
+                uses[i] += np.bincount(k, part[:, bit], len(uses[i]))
+            at = end
+    return logit, middle / uses
+
+
+def tally(model: Model, run: Run, cells: np.ndarray, sums: np.ndarray) -> None:
+    """Add every bit of a run, its own count left out, to the cells (CELLS, flat), and its order-0 logit to the sums of its kind."""
+    kinds = model.kinds.ravel()
+    kind0 = np.where(np.isinf(model.order0), BINS, kind(model.order0)).astype(np.uint8)
+    for low in range(0, len(run.hashes), 1 << 14):
+        b = bits_at(model, run, np.arange(low, min(low + (1 << 14), len(run.hashes))))
+        one, two, three = (kinds.take(slot * 2 + b.bit) for slot in b.slots)
+        own = kind0.take(b.node)
+        at = two.astype(np.int32)
+        for k, size in ((three, CELLS[1]), (one, CELLS[2]), (own, CELLS[3]), (b.bit, CELLS[4])):
+            at *= np.int32(size)
+            at += k
+        np.add.at(cells, at, 1)
+        sums += np.bincount(own, b.order0, len(sums))
+
+
+def learned(cells: np.ndarray, middle: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each gate's weights with the least cost over a tally and their distance from the usual ones, and the probability map of what they mix.
+
+    middle: the mean logit of each kind, of input 0 and the three contexts.
+    """
+    n = cells.reshape(CELLS)[..., :BINS, :]
+    two, three, one, own = at = np.nonzero(n.sum(axis=-1))
+    zeros, ones = n[at].T
+    every = zeros + ones
+    x = np.stack([middle[0][own], middle[1][one], middle[2][two], middle[3][three], np.full(len(own), 0.3)], axis=1)
+    gate = two // BINS * LEVELS[2] + three // BINS
+    weights, z = usual(), np.zeros(len(gate))
+    for g in range(GATES):
+        here = np.flatnonzero(gate == g)
+        xs, began, w = x[here], weights[g].astype(np.float64), weights[g].astype(np.float64)
+        ridge = RIDGE * every[here].sum() + 1
+
+        def cost(w: np.ndarray) -> float:
+            mixed = xs @ w
+            return float((every[here] * np.logaddexp(0, mixed) - ones[here] * mixed).sum() + ridge / 2 * ((w - began) ** 2).sum())
+
+        now = cost(w)
+        for _ in range(50):  # Newton's steps, halved until they help
+            p = 1 / (1 + np.exp(-(xs @ w)))
+            slope = xs.T @ (every[here] * p - ones[here]) + ridge * (w - began)
+            step = np.linalg.solve((xs.T * (every[here] * p * (1 - p))) @ xs + ridge * np.eye(INPUTS), slope)
+            while (new := cost(w - step)) > now and np.abs(step).max() > 1e-6:
+                step = step / 2
+            if new >= now:
+                break
+            w, done, now = w - step, now - new <= 1e-9 * now, new
+            if done:
+                break
+        weights[g], z[here] = w, xs @ w
+    place = gate * 64 + bucket(z)
+    return weights, refinement(*(np.bincount(place, c, GATES * 64).reshape(GATES, 64) for c in (ones, every)))
 
 
 def refinement(ones: np.ndarray, all_: np.ndarray) -> np.ndarray:
@@ -526,21 +591,19 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([_packed(x) for x in held.values()], pa.binary())], ["chunk", "counts"])
 
 
-def _learn(held):
-    """What a task learns from its texts, run by run, as rows of place and value, to be summed: weights times their run, runs, ones and totals."""
+def _tally(held):
+    """The tally of a task's texts, as rows of place and value, to be summed: cells, then sums of order-0 logits by kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        began = model.weights
-        sums = np.zeros(GATES * INPUTS + 1 + 2 * GATES * 64)
+        cells, sums = np.zeros(int(np.prod(CELLS)), np.int64), np.zeros(CELLS[3])
         for texts, rare in _runs(batches):
             r = read(model, texts, None if model.whole else rare)
             r.known[r.known == -2] = -1
-            model.weights = began.copy()
-            ones, all_ = learn_weights(model, r)
-            sums += np.concatenate([model.weights.ravel(), [1], ones.ravel(), all_.ravel()])
-        model.weights = began
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], ["i", "x"])
+            tally(model, r, cells, sums)
+        out = np.concatenate([cells, sums])
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], ["i", "x"])
 
     return run
 
@@ -606,16 +669,8 @@ def with_rare(texts: DataFrame, vocabulary: DataFrame, model: Model) -> DataFram
     return keyed.join(own, "_k", "left").drop("_k")
 
 
-def sample(train: DataFrame, seed: int = 19) -> DataFrame:
-    """One training text in SHARE, by a hash; in a small corpus more, for some SHARE_DOCS."""
-    n = train.count()
-    share = max(1 / SHARE, min(1.0, SHARE_DOCS / max(1, n)))
-    some = train.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30))
-    return some.select("text", "rare").repartition(max(1, int(n * share) // SHARE_DOCS))
-
-
 def fit(model: Model, train: DataFrame) -> Model:
-    """The model with the contexts of the training rows (doc_id, text, rare), and weights learned from a share of them."""
+    """The model with the contexts of the training rows (text, rare), and the weights learned from all of them."""
     spark = train.sparkSession
     if not model.escape:
         model.logit = np.zeros(model.slots, np.float32)
@@ -629,26 +684,17 @@ def fit(model: Model, train: DataFrame) -> Model:
         table[r["chunk"] * CHUNK :][: len(got)] = got
     held.destroy()
     table = table[: model.slots * 2].reshape(-1, 2)
-    by_context = np.split(table, 3)
-    model.loads = tuple(float(t.sum()) / len(t) for t in by_context)
-    # part by part, so that the driver holds few copies of the table
-    model.table, logit = np.empty(table.shape, np.uint16), np.empty(len(table), np.float32)
-    at = 0
-    for t, load in zip(by_context, model.loads):
-        for part in np.array_split(t, 16):
-            model.table[at : at + len(part)] = np.minimum(part, 65535)
-            logit[at : at + len(part)] = with_level(*logits(part.astype(np.float32), load))
-            at += len(part)
-    del table, by_context, t, part
+    logit, middle = graded(model, table)
+    del table
     held = spark.sparkContext.broadcast(model)
-    learned: list[Row] = sample(train).mapInArrow(_learn(held), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+    sums = train.select("text", "rare").mapInArrow(_tally(held), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
     held.destroy()
-    sums = np.array([r["x"] for r in learned])
-    w = GATES * INPUTS
-    if len(sums) and sums[w]:
-        model.weights = (sums[:w] / sums[w]).reshape(GATES, INPUTS).astype(np.float32)
-        model.refine = refinement(*sums[w + 1 :].reshape(2, GATES, 64))
-    model.table, model.logit = np.zeros((0, 2), np.uint16), logit
+    cells = np.zeros(int(np.prod(CELLS)) + CELLS[3])
+    cells[sums["i"].to_numpy()] = sums["x"].to_numpy()
+    cells, own = np.split(cells, [-CELLS[3]])
+    middle0 = own / np.maximum(cells.reshape(CELLS).sum(axis=(0, 1, 2, 4)), 1)
+    model.weights, model.refine = learned(cells, [middle0, *middle])
+    model.kinds, model.logit = np.zeros((0, 2), np.uint8), logit
     return model
 
 

@@ -312,6 +312,54 @@ def test_words_outside_the_head_are_predicted_from_their_contexts(spark, monkeyp
     assert sum(r["score"] for r in held) > 0.75 * sum(r["base_score"] for r in held)
 
 
+def test_weights_come_from_every_bit_of_every_training_text(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(6)))) for i in range(4000)]
+    seen, begin, learned = {}, ctxmix.begin, ctxmix.learned
+    monkeypatch.setattr(ctxmix, "begin", lambda v: seen.setdefault("model", begin(v)))
+    monkeypatch.setattr(ctxmix, "learned", lambda cells, middle: learned(seen.setdefault("cells", cells), middle))
+    assert ctxmix.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).count() == len(rows)
+    run = ctxmix.read(seen["model"], [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1])
+    bits = ctxmix.bits_at(seen["model"], run, np.arange(len(run.hashes))).bit
+    assert seen["cells"].reshape(-1, 2).sum(axis=0).tolist() == [len(bits) - bits.sum(), bits.sum()]
+
+
+def test_tally_and_weights_by_hand():
+    rnd, rng = random.Random(3), np.random.default_rng(3)
+    texts = [" ".join(rnd.choice("abcdefgh") + rnd.choice("xyz" * 3 + "uvw") for _ in range(rnd.randint(0, 130))) for _ in range(9)]
+    m = small_model(texts[:5], 12)
+    table = rng.integers(1, 9, (m.slots, 2)).astype(np.uint32) ** rng.integers(1, 3, (m.slots, 1)).astype(np.uint32)
+    logit, middle = ctxmix.graded(m, table)
+    assert (logit[:9] == ctxmix.with_level(*ctxmix.logits(table[:9].astype(np.float32), m.loads[0]))).all()
+    cells, sums = np.zeros(np.prod(ctxmix.CELLS), np.int64), np.zeros(ctxmix.BINS + 1)
+    run = ctxmix.read(m, texts)
+    ctxmix.tally(m, run, cells, sums)
+    b = ctxmix.bits_at(m, run, np.arange(len(run.hashes)))
+    range_of = lambda z: sum(z > e for e in ctxmix.EDGES)
+    want = Counter()
+    for j, bit in enumerate(b.bit):
+        kinds = []
+        for slot, load, levels in zip(b.slots, m.loads, (1, 4, 3)):
+            n = table[slot[j]].astype(float)
+            n[bit] -= 1
+            level = sum(n.sum() >= x for x in (max(1, 0.75 * load), max(4, 2 * load), max(32, 8 * load)))
+            kinds.append(range_of(np.log((n[1] + 0.4) / (n[0] + 0.4))) + ctxmix.BINS * min(level, levels - 1))
+        own = ctxmix.BINS if np.isinf(m.order0[b.node[j]]) else range_of(b.order0[j])
+        want[kinds[1], kinds[2], kinds[0], own, int(bit)] += 1
+    shape = cells.reshape(ctxmix.CELLS)
+    assert {tuple(map(int, at)): shape[tuple(at)] for at in np.argwhere(shape)} == want
+    # of the weights, none is better a little to one side
+    middle = [sums / np.maximum(shape.sum(axis=(0, 1, 2, 4)), 1), *middle]
+    weights, _ = ctxmix.learned(cells.astype(float), middle)
+    for g in range(ctxmix.GATES):
+        own = [(k, n) for k, n in want.items() if k[0] // ctxmix.BINS * 3 + k[1] // ctxmix.BINS == g and k[3] < ctxmix.BINS]
+        x = np.array([[middle[0][k[3]], middle[1][k[2]], middle[2][k[0]], middle[3][k[1]], 0.3] for k, _ in own]).reshape(-1, 5)
+        n, one = np.array([n for _, n in own], float), np.array([k[4] for k, _ in own], float)
+        cost = lambda w: (n * (np.logaddexp(0, x @ w) - one * (x @ w))).sum() + (ctxmix.RIDGE * n.sum() + 1) / 2 * ((w - ctxmix.usual()[g]) ** 2).sum()  # noqa: B023, E731
+        w = weights[g].astype(float)
+        assert all(cost(w + d) > cost(w) < cost(w - d) for d in 0.01 * np.eye(5))
+
+
 # --- 5 ---
 
 
