@@ -296,7 +296,7 @@ def bits_at(model: Model, run: Run, at: np.ndarray) -> Bits:
             spots = (flag[there] + 1)[:, None] + np.arange(d)
             node[spots] = ((turn >> _U1) + (_U1 << down) + np.uint64(esc)).astype(np.int32)
             bit[spots] = turn & _U1
-    order0 = model.order0[node]
+    order0 = model.order0.take(node)
     sure = np.flatnonzero(np.isinf(order0))
     order0[sure] = 0
     mixed = node.view(np.uint32) * _C[1]
@@ -322,11 +322,11 @@ def inputs(model: Model, b: Bits) -> tuple[np.ndarray, np.ndarray]:
     x[0], x[4] = b.order0, 0.3
     seen = []
     for i, slot in enumerate(b.slots):
-        z = model.logit[slot]
-        x[i + 1] = z
-        seen.append(z.view(np.uint8)[::4] & np.uint8(3))
+        z = model.logit.take(slot, out=x[i + 1], mode="clip")
+        if i:
+            seen.append(z.view(np.uint8)[::4] & np.uint8(3))
     x[:, b.sure] = 0  # nothing is learned from them
-    return x, seen[1] * np.uint8(3) + np.minimum(seen[2], np.uint8(2))
+    return x, seen[0] * np.uint8(3) + np.minimum(seen[1], np.uint8(2))
 
 
 def logits(n: np.ndarray, load: float) -> tuple[np.ndarray, np.ndarray]:
@@ -361,23 +361,22 @@ def mix(w: np.ndarray, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, lanes:
     rows = order[rank] * GATES + gate.take(source)
     z = np.empty(len(bit), np.float32)
     wide = int(live.max(initial=0))
-    held, one = np.empty((INPUTS, wide), np.float32), np.empty(wide, np.float32)
+    held, places = np.empty(INPUTS * wide, np.float32), np.empty(INPUTS * wide, np.int64)
+    flat, every = w.reshape(-1), np.arange(INPUTS)[:, None] * w.shape[1]
     for t in range(len(live)):
         a, b = begin[t], begin[t + 1]
-        r, zi, part = rows[a:b], z[a:b], one[: b - a]
-        own = [w[k].take(r, out=held[k, : b - a], mode="clip") for k in range(INPUTS)]
-        np.multiply(own[0], xs[0, a:b], out=zi)
-        for k in range(1, INPUTS):
-            np.multiply(own[k], xs[k, a:b], out=part)
-            zi += part
+        n = INPUTS * (b - a)
+        own, r = held[:n].reshape(INPUTS, -1), places[:n].reshape(INPUTS, -1)
+        np.add(rows[a:b], every, out=r)
+        flat.take(r, out=own, mode="clip")
+        xt, zi = xs[:, a:b], z[a:b]
+        np.add.reduce(own * xt, axis=0, out=zi)
         p = np.exp(-zi)
         p += 1
         np.divide(rate, p, out=p)
         np.subtract(want[a:b], p, out=p)
-        for k in range(INPUTS):
-            np.multiply(xs[k, a:b], p, out=part)
-            part += own[k]
-            w[k][r] = part
+        own += xt * p
+        flat[r] = own
     out = np.empty_like(z)
     out[source] = z
     return out
@@ -416,7 +415,7 @@ def costs(model: Model, run: Run) -> np.ndarray:
     for at, b, gate, z in blocks(model, run):
         z = z + refine.take(gate * np.int32(64) + bucket(z))
         a = np.where(b.bit == 1, -z, z)
-        cost = np.maximum(a, 0) + np.log1p(np.exp(-np.abs(a)))
+        cost = np.maximum(a, 0) + np.log(1 + np.exp(-np.abs(a)))
         cost[b.sure] = 0
         some = np.flatnonzero(b.n)
         out[at[some]] = np.add.reduceat(cost, (np.cumsum(b.n) - b.n)[some], dtype=np.float64) if len(some) else 0
